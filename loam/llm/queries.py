@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, leak, mojibake, neardup
+from loam.llm import bpe, leak, mojibake, neardup, ocr
 
 REGISTRY = {
     "p2_found": (neardup.p2_found, None),
     "p2_classes": (neardup.p2_classes, None),
     "p3_found": (mojibake.p3_found, None),
     "p3_restored": (mojibake.p3_restored, None),
+    "p5_found": (ocr.p5_found, None),
+    "p5_repaired": (ocr.p5_repaired, None),
     "p8_ids": (bpe.p8_ids, None),
     "p9_found": (leak.p9_found, leak.P9_SQL),
     "p9_spans": (leak.p9_spans, None),
