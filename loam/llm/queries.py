@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, leak, mojibake, neardup, ocr
+from loam.llm import bpe, leak, mojibake, neardup, ocr, residue
 
 REGISTRY = {
     "p2_found": (neardup.p2_found, None),
@@ -14,4 +14,6 @@ REGISTRY = {
     "p8_ids": (bpe.p8_ids, None),
     "p9_found": (leak.p9_found, leak.P9_SQL),
     "p9_spans": (leak.p9_spans, None),
+    "p10_found": (residue.p10_found, None),
+    "p10_kept": (residue.p10_kept, None),
 }
