@@ -133,9 +133,10 @@ def occurrences(recs: DataFrame) -> DataFrame:
     return recs.mapInArrow(run, "path string, word string, before string")
 
 
-def misread(recs: DataFrame) -> DataFrame:
+def misread(recs: DataFrame, scratch: Scratch) -> DataFrame:
     """(path, fixes): records with at least EVIDENCE misread words, and what to read for each (word, before)."""
-    found = small_join(occurrences(recs), corrections(pairs_of_words(recs)), ["word", "before"], "inner")
+    fixing = scratch.keep(corrections(scratch.keep(pairs_of_words(recs))))
+    found = small_join(occurrences(recs), fixing, ["word", "before"], "inner")
     fixes = F.collect_list(F.struct("word", "before", "form")).alias("fixes")
     return found.groupBy("path").agg(fixes, F.count_distinct("word").alias("n")).where(F.col("n") >= EVIDENCE).select("path", "fixes")
 
@@ -164,17 +165,17 @@ def lines(recs: DataFrame) -> DataFrame:
     )
 
 
-def noise(recs: DataFrame) -> DataFrame:
+def noise(recs: DataFrame, scratch: Scratch) -> DataFrame:
     """(path, noise): the kinds of noise of each record."""
     edges = lines(recs).groupBy("path").agg(F.max(F.col("is_number") | F.col("beside")).alias("page_number"), F.max("is_header").alias("running_header"))
     divided = recs.where(F.col("content").rlike(r"\p{L}[-‐\xAD] ?\n *\p{L}")).select("path", F.lit("hyphenation").alias("noise"))
-    out = divided.union(misread(recs).select("path", F.lit("misread")))
+    out = divided.union(misread(recs, scratch).select("path", F.lit("misread")))
     for kind in ("page_number", "running_header"):
         out = out.union(edges.where(kind).select("path", F.lit(kind)))
     return out
 
 
-def repaired(recs: DataFrame) -> DataFrame:
+def repaired(recs: DataFrame, scratch: Scratch) -> DataFrame:
     """(path, content) as continuous paragraphs: misread words replaced, headers and page numbers gone, divided words joined, lines reflowed.
 
     Paragraphs are divided by blank lines and stand one a line; leader-dot lists keep their lines. A paragraph goes on over a page's edge unless
@@ -194,7 +195,7 @@ def repaired(recs: DataFrame) -> DataFrame:
     cjk = r"[\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}]"
     text = F.regexp_replace(F.regexp_replace(text, "\n", " "), rf"(?<={cjk}) +(?={cjk})", "")
     whole = joined.withColumn("text", text).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
-    fixed = recs.select("path").join(whole, "path", "left").join(misread(recs), "path", "left")
+    fixed = recs.select("path").join(whole, "path", "left").join(misread(recs, scratch), "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,11 +228,11 @@ def reread(text: str, fixes: dict[tuple[str, str], str]) -> str:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, noise) of every record."""
-    recs = Scratch(spark, "ocr").keep(records(table(spark, sf_dir, "ocr_processed").select("path", "content", "processed_at")))
-    return noise(recs)
+    scratch = Scratch(spark, "ocr")
+    return noise(scratch.keep(records(table(spark, sf_dir, "ocr_processed").select("path", "content", "processed_at"))), scratch)
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of every record as continuous paragraphs."""
-    recs = Scratch(spark, "ocr").keep(records(table(spark, sf_dir, "ocr_processed").select("path", "content", "processed_at")))
-    return repaired(recs)
+    scratch = Scratch(spark, "ocr")
+    return repaired(scratch.keep(records(table(spark, sf_dir, "ocr_processed").select("path", "content", "processed_at"))), scratch)
