@@ -273,14 +273,14 @@ def hierarchy(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFra
 
 
 def intervals(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """(volume, frn, tree, entry, exit, descendants): a node lies below another iff its interval lies within the other's in one tree.
+    """(volume, frn, tree, entry, exit, descendants, loop): a node lies below another iff its interval lies within the other's in one tree.
 
-    ``tree`` is the id of the top node. Nodes on a cycle each top a tree of their own, made of what hangs from them off the cycle.
+    ``tree`` is the id of the top node. Nodes on a cycle (``loop``) each top a tree of their own, made of what hangs from them off the cycle.
     """
     nodes, ranked = tours(entries, roots, scratch)
-    both = ranked.groupBy(F.shiftright("e", 1).alias("id")).agg(F.max("d").alias("a"), F.min("d").alias("b"), F.count(F.lit(1)).alias("n"), F.max("last").alias("tree"))
+    both = ranked.groupBy(F.shiftright("e", 1).alias("id")).agg(F.max("d").alias("a"), F.min("d").alias("b"), F.count(F.lit(1)).alias("n"), F.max("last").alias("tree"), F.max("kind").alias("kind"))
     leave = F.when(F.col("n") == 1, F.col("a") - 1).otherwise(F.col("b"))
-    return both.join(nodes, "id").select("volume", "frn", "tree", (-F.col("a")).alias("entry"), (-leave).alias("exit"), F.floor((F.col("a") - leave) / 2).cast("long").alias("descendants"))
+    return both.join(nodes, "id").select("volume", "frn", "tree", (-F.col("a")).alias("entry"), (-leave).alias("exit"), F.floor((F.col("a") - leave) / 2).cast("long").alias("descendants"), ((F.col("kind") == CYCLE) & (F.col("tree") == F.col("id"))).alias("loop"))
 
 
 def descendants(spans: DataFrame, of: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(volume, frn, descendants) of every entry that isn't on a cycle: how many nodes lie below it."""
     entries = table(spark, sf_dir, "frn_entries").select("volume", "frn", "parent_frn", "name", "usn")
-    return intervals(entries, table(spark, sf_dir, "frn_roots"), Scratch(spark, "spans")).select("volume", "frn", "descendants")
+    return intervals(entries, table(spark, sf_dir, "frn_roots"), Scratch(spark, "spans")).where(~F.col("loop")).select("volume", "frn", "descendants")
 
 
 _TREE_SQL = r"""
@@ -324,3 +324,15 @@ SELECT e.volume, e.frn, CASE WHEN EXISTS (
 ) THEN 'broken' ELSE 'cycle' END, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), ''
 FROM e WHERE NOT EXISTS (SELECT 1 FROM down d WHERE d.volume = e.volume AND d.frn = e.frn)
 """
+P7_DESCENDANTS_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT volume, frn, parent_frn FROM frn_entries WHERE frn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY volume, frn ORDER BY usn DESC NULLS LAST, parent_frn DESC NULLS LAST, name DESC NULLS LAST) = 1
+), up AS (
+  SELECT volume, frn AS start, parent_frn AS above FROM e
+  UNION
+  SELECT u.volume, u.start, e.parent_frn FROM up u JOIN e ON e.volume = u.volume AND e.frn = u.above
+), loops AS (SELECT DISTINCT volume, start AS frn FROM up WHERE above = start)
+SELECT e.volume, e.frn, count(u.start) AS descendants FROM e LEFT JOIN up u ON u.volume = e.volume AND u.above = e.frn
+WHERE NOT EXISTS (SELECT 1 FROM loops l WHERE l.volume = e.volume AND l.frn = e.frn) GROUP BY ALL
+"""

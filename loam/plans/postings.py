@@ -1,0 +1,42 @@
+"""The inverted index as a table: (term, field, path, tf, positions), clustered by term so that a query reads its terms' files only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loam.functions.text import tokens
+
+#: Directories that postings are dealt to by a hash of their term.
+BUCKETS = 64
+
+
+def postings(files: DataFrame, fields: tuple[str, ...] = ("name", "content")) -> DataFrame:
+    """(term, field, path, tf, positions) of all files. Positions count from 0.
+
+    A term's occurrences in one document are combined before the shuffle.
+    """
+    out = None
+    for f in fields:
+        part = files.select("path", F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "term"))
+        out = part if out is None else out.union(part)
+    return out.groupBy("term", "field", "path").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def write(index: DataFrame, where: str) -> None:
+    """Writes postings by term bucket, sorted by term, so that files and row groups are skipped by their term ranges."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    rows = index.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "field", "path")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(where)
+
+
+def read(spark, where: str, terms: list[str]) -> DataFrame:
+    """The postings of some terms: only their buckets are listed and only their row groups read."""
+    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
+    return spark.read.parquet(where).where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+
+
+def document_frequencies(files: DataFrame, field: str = "content") -> DataFrame:
+    """(term, df, cf): in how many files each term stands and how often in all."""
+    exploded = files.select("path", F.explode(tokens(F.col(field))).alias("term")).groupBy("term", "path").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
