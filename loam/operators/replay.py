@@ -91,7 +91,7 @@ def state(changes: DataFrame, feed: Feed, *carry: str, closed: bool = False) ->
             rows = rows.where(F.col(k).isNotNull())
         rows = rows.withColumn("_deleted", feed.deleted).withColumn("_commit", F.col(feed.seq))
     else:
-        rows = commits(records(changes, feed, *carry), feed)
+        rows = commits(records(changes, feed, *dict.fromkeys([*carry, *([feed.parts] if feed.parts else [])])), feed)
     if not closed:
         marks = watermarks(changes.where(F.col(feed.seq).isNotNull()), feed).select(*feed.stream, "watermark")
         rows = small_join(rows, marks, list(feed.stream), "inner").where(F.col("_commit") <= F.col("watermark"))
