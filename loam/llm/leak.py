@@ -51,7 +51,7 @@ def spans(text: str, found: ahocorasick.Automaton, numbers: dict[str, int], wind
         first = end - window + 1
         for item in ids:
             mine = runs.setdefault(item, [])
-            if mine and first <= mine[-1][1] + 1:
+            if mine and first <= mine[-1][1]:
                 mine[-1][1] = end
             else:
                 mine.append([first, end])

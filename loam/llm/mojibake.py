@@ -65,7 +65,7 @@ BROKEN = re.compile("[\x80-\x9f�-]")
 SIGNALS = [
     (6.0, BROKEN),
     (2.5, re.compile(rf"(?<={_LETTER})[{_SIGNS.replace('«', '').replace('»', '').replace('°', '').replace('²', '').replace('³', '').replace('º', '').replace('ª', '').replace('№', '')}“–—](?={_LETTER})|(?<=[{_LOWER}{_UPPER}])[{_SIGNS.replace('»', '').replace('›', '')}](?=[^\n])|[¢£¤¥¦¨©¬®¯´µ¶¸¹¼½¾‚†‡ˆ‰•˜€](?={_LETTER})|(?<=[а-яёА-ЯЁ])[{_SIGNS.replace('»', '')}]|[{_SIGNS.replace('«', '').replace('№', '').replace('„', '')}](?=[а-яёА-ЯЁ])")),
-    (3.0, re.compile(rf"(?<={_LETTER})[{_BOX}{_MATHS}]|[{_BOX}√∂∆∏∑∞∫≈≠≤≥◊∙∩≡⌐⌠⌡₧ƒ](?=\w)|[{_BOX}](?=[{_SIGNS}])|(?<=[ΓΣΦΘτσπ])[{_SIGNS}{_UPPER}{_LOWER}]")),
+    (3.0, re.compile(rf"(?<={_LETTER})[{_BOX}{_MATHS}]|[{_BOX}√∂∆∏∑∞∫≈≠≤≥◊∙∩≡⌐⌠⌡₧ƒ](?=\w)|[{_BOX}√∂∆∏∑∞∫≈≠≤≥◊∙∩≡⌐⌠⌡₧ƒ](?=[{_SIGNS}])|(?<=[ΓΣΦΘτσπ])[{_SIGNS}{_UPPER}{_LOWER}]")),
     (2.0, re.compile(rf"(?<=[{_LOWER}])[{_UPPER}](?=[{_LOWER}{_UPPER}{_SIGNS}{_MATHS}\s\xa0™]|$)|(?<=[а-яё])[А-ЯЁ]")),
     (1.5, re.compile(rf"(?<=[À-ÿ][À-ÿ])[À-ÿ]")),
     (2.5, re.compile("[ЂЃ‰ЉЊЌЋЏђѓљњќћџЄєЇїЎўІіЈјҐґЅѕ]")),
@@ -73,6 +73,8 @@ SIGNALS = [
     (2.0, re.compile("[ぁ-ヿㄅ-ㄯ㈠-㋿ｦ-ﾟ]")),
     (1.5, re.compile(rf"(?<=[a-z{_LOWER}])[㐀-鿿]{{1,2}}(?=[{_LOWER}a-z])|(?<=[A-Za-z])[{_CYR}]|[{_CYR}](?=[A-Za-z])")),
     (0.8, re.compile("[ÃÂÐØÞðþĂĐ]")),
+    (1.4, re.compile(r"[\u0180-\u036f\u0370-\u0400\u0460-\u0fff\uac00-\ud7a3]")),
+    (1.4, re.compile(r"(?<!\S)[㐀-鿿](?!\S)")),
     (0.1, re.compile(r"[À-ž]")),
     (0.02, re.compile(r"[^\x00-\xff]")),
     # escapes count only where two in a row spell what may be a multi-byte character

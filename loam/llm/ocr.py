@@ -29,6 +29,7 @@ EVIDENCE = 3
 _FROM = "".join(x for v in SINGLES.values() for x in v)
 _TO = "".join(k for k, v in SINGLES.items() for _ in v)
 _SINGLE = str.maketrans(_FROM, _TO)
+BROKEN_D = re.compile("c[l1!|]")
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐\xad] ?\n *(?=[^\W\d_])")
 TOKEN = re.compile(r"[\w@!$|]+")
 
@@ -41,7 +42,7 @@ _BESIDE = r"^\d{1,4}(?:\s*\|\s*|\s+)\D|\D(?:\s*\|\s*|\s+)\d{1,4}$"
 
 def skeleton(word: str) -> str:
     """What is left of a word when confusable glyphs fall together."""
-    word = word.lower()
+    word = BROKEN_D.sub("d", word.lower())
     for pair, one in PAIRS:
         word = word.replace(pair, one)
     return word.translate(_SINGLE)
@@ -181,10 +182,14 @@ def repaired(recs: DataFrame, scratch: Scratch) -> DataFrame:
     Paragraphs are divided by blank lines and stand one a line; leader-dot lists keep their lines. A paragraph goes on over a page's edge unless
     it ended with a sentence. Spaces between CJK characters are dropped. A record of nothing but page numbers gives the empty text.
     """
-    kept = lines(recs).where(~F.col("is_number") & ~F.col("is_header"))
     order = W.partitionBy("path").orderBy("pos")
     s = F.trim(F.regexp_replace("line", "[\\s\f]+", " "))
-    rows = kept.where(~F.col("line").contains("\f")).withColumn("s", s).withColumn("blank", F.col("s") == "").withColumn("gap", F.col("pos") - F.lag("pos").over(order) > 1)
+    gone = F.col("is_number") | F.col("is_header") | F.col("line").contains("\f")
+    whole = lines(recs).withColumn("s", s).withColumn("gone", gone).withColumn("blank", F.col("s") == "")
+    # a blank line beside what goes belongs to the page's edge
+    soft = F.col("blank") & (F.lag("gone", 1, True).over(order) | F.lead("gone", 1, True).over(order))
+    kept = whole.withColumn("soft", soft).where(~F.col("gone") & ~F.col("soft"))
+    rows = kept.withColumn("gap", F.col("pos") - F.lag("pos").over(order) > 1)
     rows = rows.withColumn("leader", F.col("s").rlike(r"\.{3}"))
     # over a removed line or page edge the paragraph goes on; a blank line or a list line begins a new one
     begins = F.lag("blank", 1, True).over(order) | F.col("leader") | F.lag("leader", 1, False).over(order) | (F.col("gap") & F.lag("s").over(order).rlike(r"[.!?。”]$"))
@@ -211,11 +216,11 @@ def reread(text: str, fixes: dict[tuple[str, str], str]) -> str:
     """The text with misread words replaced in the case of what stands there."""
     if not fixes:
         return text
-    before = ""
+    before, alone = "", {w: form for (w, _), form in fixes.items()}  # over a removed line the word before is another one
 
     def word(m: re.Match) -> str:
         nonlocal before
-        form, before = fixes.get((m[0], before)), m[0].lower()
+        form, before = fixes.get((m[0], before), alone.get(m[0])), m[0].lower()
         if form is None:
             return m[0]
         letters = [c for c in m[0] if c.isalpha()]
