@@ -76,6 +76,7 @@ SIGNALS = [
     (1.4, re.compile(r"[\u0180-\u036f\u0370-\u0400\u0460-\u0fff\uac00-\ud7a3]")),
     (1.4, re.compile(r"(?<!\S)[㐀-鿿](?!\S)")),
     (0.1, re.compile(r"[À-ž]")),
+    (0.3, re.compile(r"[Ā-ž]")),
     (0.02, re.compile(r"[^\x00-\xff]")),
     # escapes count only where two in a row spell what may be a multi-byte character
     (3.0, re.compile(r"&(?:[AEIOUaeiou](?:tilde|circ|grave|acute|uml)|aring|Aring|ETH|Ntilde|eth);(?=&(?!lt|gt|amp|nbsp))|&#(?:x[c-fC-F][0-9a-fA-F]|19[2-9]|2[0-4]\d);(?=&#)|\\u00[c-fC-F][0-9A-Fa-f](?=\\u00[89abAB])|\\x[c-fC-F][0-9A-Fa-f](?=\\x[89abAB])")),
@@ -171,6 +172,11 @@ def follow(text: str, path: tuple[Step, ...]) -> str | None:
     return text
 
 
+def toll(path: tuple[Step, ...]) -> float:
+    """What a path costs by itself: longer ones more, and steps that don't end in strict UTF-8 more, as almost any bytes pass those."""
+    return sum(0.2 if to in ("utf-8", "") else 0.8 for _, to in path)
+
+
 def search(text: str) -> tuple[str, tuple[Step, ...]]:
     """The cheapest reachable text and the path to it; a step costs a little itself, so the shortest of equal paths wins."""
     best, way = text, ()
@@ -184,7 +190,7 @@ def search(text: str) -> tuple[str, tuple[Step, ...]]:
             if (h := hash(after)) in seen:
                 continue
             seen.add(h)
-            price = cost(after) + 0.2 * (len(path) + 1)
+            price = cost(after) + toll((*path, step))
             if price < lowest:
                 best, way, lowest = after, (*path, step), price
             if price < c:
@@ -198,18 +204,20 @@ def search(text: str) -> tuple[str, tuple[Step, ...]]:
 _paths: dict[tuple[Step, ...], int] = {}
 
 
-def cheapest(text: str) -> str:
+def cheapest(text: str) -> tuple[str, tuple[Step, ...]]:
     """``search``, but paths that helped before are tried first and taken if they leave nothing implausible."""
-    before = cost(text)
-    for path in sorted(_paths, key=_paths.get, reverse=True):
+    before, best = cost(text), None
+    for path in _paths:
         after = follow(text, path)
         if after is not None and after != text and cost(after) < min(0.15 * before, 0.03 * len(after) + 0.5):
-            _paths[path] += 1
-            return after
+            best = min(best, (cost(after) + toll(path), path, after)) if best else (cost(after) + toll(path), path, after)
+    if best:
+        _paths[best[1]] += 1
+        return best[2], best[1]
     after, path = search(text)
     if path and cost(after) <= SHARE * before:
         _paths[path] = _paths.get(path, 0) + 1
-    return after
+    return after, path
 
 
 _RUN = re.compile(r"\S*[^\x00-\x7f]\S*(?:[ \xa0]\S*[^\x00-\x7f]\S*)*")
@@ -221,13 +229,14 @@ def better(before: str, after: str) -> bool:
 
 
 def restore_line(line: str) -> str:
-    """The line as a whole if one path mends it, else each run of words with characters beyond ASCII on its own."""
-    whole = cheapest(line)
-    if better(line, whole) and cost(whole) < 1 + 0.05 * len(whole):
+    """The line mended as a whole if strict UTF-8 came out or most of it was garbled, else each run of words with characters beyond ASCII on
+    its own if that is cheaper."""
+    whole, path = cheapest(line)
+    if better(line, whole) and (all(to == "utf-8" for _, to in path) or sum(c > "\x7f" for c in line) > 0.2 * len(line)):
         return whole
 
     def run(m: re.Match) -> str:
-        after = cheapest(m[0])
+        after = cheapest(m[0])[0]
         return after if better(m[0], after) else m[0]
 
     parts = _RUN.sub(run, line)
