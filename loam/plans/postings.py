@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +18,40 @@ BUCKETS = 64
 def postings(files: DataFrame, fields: tuple[str, ...] = ("name", "content")) -> DataFrame:
     """(term, field, path, tf, positions) of all files. Positions count from 0.
 
-    A term's occurrences in one document are combined before the shuffle.
+    A document's postings are made from its own tokens, so building needs no shuffle. Grouping by built-in operators would shuffle and sort every
+    token; here only the finished postings move, when they are written by term.
     """
-    out = None
-    for f in fields:
-        part = files.select("path", F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "term"))
-        out = part if out is None else out.union(part)
-    return out.groupBy("term", "field", "path").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    kind = files.schema["path"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, names, rows, tfs, positions = [], [], [], [], []
+            for k, f in enumerate(fields):
+                for row, toks in enumerate(batch.column(k + 1).to_pylist()):
+                    own: dict[str, list[int]] = {}
+                    for i, t in enumerate(toks):
+                        own.setdefault(t, []).append(i)
+                    terms += own
+                    names += [f] * len(own)
+                    rows += [row] * len(own)
+                    for at in own.values():
+                        tfs.append(len(at))
+                        positions += at
+            offsets = np.concatenate([[0], np.cumsum(tfs, dtype="int64")]).astype("int32")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.string()), pa.array(names, pa.string()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(tfs, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions, pa.int32()))],
+                names=["term", "field", "path", "tf", "positions"],
+            )
+
+    toks = files.select("path", *[tokens(F.col(f)).alias(f"t_{f}") for f in fields])
+    return toks.mapInArrow(run, f"term string, field string, path {kind}, tf int, positions array<int>")
 
 
 def write(index: DataFrame, where: str) -> None:
     """Writes postings by term bucket, sorted by term, so that files and row groups are skipped by their term ranges."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
     rows = index.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "field", "path")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(where)
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(where)
 
 
 def read(spark, where: str, terms: list[str]) -> DataFrame:

@@ -16,15 +16,15 @@ from loam.functions import paths
 from loam.functions.snippet import PREVIEW, SNIPPET, snippet_column
 from loam.functions.text import frequency, query_terms, spaced, tokens
 from loam.plans.qlang import Clause, Field, Group, Path, Query, QueryError, Range, Word, parse
-from loam.session import table
+from loam.session import spread, table
 
 K1, B = 1.2, 0.75
 SORTS = ("relevance", "mtime", "mtime_asc", "size")
 
 
-def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table in the shape of the index: unknown values are '' and 0, never null."""
-    d = table(spark, sf_dir, "documents")
+def documents_as_files(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
+    """The documents table in the shape of the index: unknown values are '' and 0, never null. ``apart`` spreads few splits over all cores."""
+    d = spread(table(spark, sf_dir, "documents")) if apart else table(spark, sf_dir, "documents")
     return d.select(
         "doc_id",
         F.coalesce("path", F.lit("")).alias("path"),
@@ -37,6 +37,21 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prepared_files(files: DataFrame) -> DataFrame:
+    """The files with their tokens beside them, for a session that asks many queries: persist the result and search it like the files."""
+    out = files.withColumns({f"t_{f}": tokens(F.col(f)) for f in ("name", "content", "path")})
+    out = out.withColumns({f"n_{f}": F.size(f"t_{f}") for f in ("name", "content")})
+    return out.withColumns({f"s_{f}": F.concat(F.lit(" "), F.array_join(f"t_{f}", " "), F.lit(" ")) for f in ("name", "content", "path")})
+
+
+def text_of(files: DataFrame, field: str) -> Column:
+    return F.col(f"s_{field}") if f"s_{field}" in files.columns else spaced(F.col(field))
+
+
+def tokens_of(files: DataFrame, field: str) -> Column:
+    return F.col(f"t_{field}") if f"t_{field}" in files.columns else tokens(F.col(field))
+
+
 def framed(terms: list[str]) -> str:
     return " " + " ".join(terms) + " "
 
@@ -52,7 +67,7 @@ def matches(c: Clause, files: DataFrame) -> Column:
         terms = query_terms(c.text)
         if not terms:
             raise QueryError(f"path: has no word in {c.text!r}")
-        text = spaced(F.col("path"))
+        text = text_of(files, "path")
         if c.quoted and len(terms) > 1:
             return text.contains(framed(terms))
         out = text.contains(framed(terms[:1]))
@@ -63,9 +78,9 @@ def matches(c: Clause, files: DataFrame) -> Column:
         if c.name in ("ext", "kind"):
             return F.col(c.name) == c.text
         terms = query_terms(c.text)
-        return spaced(F.col("path" if c.name == "path_text" else c.name)).contains(framed(terms)) if terms else F.lit(False)
+        return text_of(files, "path" if c.name == "path_text" else c.name).contains(framed(terms)) if terms else F.lit(False)
     needle = framed(query_terms(c.text))
-    return spaced(F.col("name")).contains(needle) | spaced(F.col("content")).contains(needle)
+    return text_of(files, "name").contains(needle) | text_of(files, "content").contains(needle)
 
 
 def cheap_first(clauses: list[Clause]) -> list[Clause]:
@@ -121,10 +136,15 @@ class Stats:
 def stats(files: DataFrame, terms: list[str], fields: tuple[str, ...] = ("name", "content")) -> Stats:
     """One aggregate over the corpus to a single row; its width is the query's terms."""
     aggs = [F.count(F.lit(1)).alias("n")]
+    if all(f"n_{f}" in files.columns for f in fields):
+        rows, size, holds = files, lambda f: F.col(f"n_{f}"), lambda f, t: F.col(f"s_{f}").contains(framed([t]))
+    else:
+        rows = files.select(*[tokens(F.col(f)).alias(f"t_{f}") for f in fields])
+        size, holds = lambda f: F.size(f"t_{f}"), lambda f, t: F.array_contains(f"t_{f}", t)
     for f in fields:
-        aggs.append(F.avg(F.size(f"t_{f}")).alias(f"mean_{f}"))
-        aggs += [F.sum(F.array_contains(f"t_{f}", t).cast("int")).alias(f"df_{f}_{i}") for i, t in enumerate(terms)]
-    row = files.select(*[tokens(F.col(f)).alias(f"t_{f}") for f in fields]).agg(*aggs).first()
+        aggs.append(F.avg(size(f)).alias(f"mean_{f}"))
+        aggs += [F.count_if(holds(f, t)).alias(f"df_{f}_{i}") for i, t in enumerate(terms)]
+    row = rows.agg(*aggs).first()
     return Stats(row["n"], {f: row[f"mean_{f}"] or 0.0 for f in fields}, {(f, t): row[f"df_{f}_{i}"] or 0 for f in fields for i, t in enumerate(terms)})
 
 
@@ -150,12 +170,12 @@ def ranked(files: DataFrame, text: str | Query, exts: tuple[str, ...] | None = N
     if not terms:
         return hits.withColumn("score", F.lit(0.0))
     st = stats(files, terms, fields)
-    scored = hits.withColumns({f"t_{f}": tokens(F.col(f)) for f in fields})
+    scored = hits.withColumns({f"t_{f}": tokens_of(hits, f) for f in fields})
     total = F.lit(0.0)
     for g in query.groups:
         own = bm25([c for c in g.must if isinstance(c, Word)], st, fields)
         total += own if len(query.groups) == 1 else F.when(group_predicate(g, files), own).otherwise(0.0)
-    return scored.withColumn("score", F.round(total, 6)).drop(*[f"t_{f}" for f in fields])
+    return scored.withColumn("score", F.round(total, 6)).select(*files.columns, "score")
 
 
 def ordering(sort: str) -> list[Column]:

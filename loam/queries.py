@@ -108,14 +108,14 @@ def _bm25_sql(terms: list[str], fields: list[tuple[str, str]], condition: str, l
 
 @query("bm25_topk", _bm25_sql(["recipe", "garden"], [("content", "t")], "contains(c, ' recipe ') AND contains(c, ' garden ')"))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    files = S.documents_as_files(spark, d)
+    files = S.documents_as_files(spark, d, apart=True)
     hits = S.ranked(files, "content:recipe content:garden recipe garden", fields=("content",))  # both in the content, ranked by it
     return hits.select("doc_id", "path", "score").orderBy(*S.ordering("relevance")).limit(20).select("doc_id", "score")
 
 
 @query("bm25_two_field", _bm25_sql(["recipe", "md"], [("name", "tn"), ("content", "t")], f"{has('recipe')} AND {has('md')}"))
 def bm25_two_field(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.ranked(S.documents_as_files(spark, d), "recipe md")
+    hits = S.ranked(S.documents_as_files(spark, d, apart=True), "recipe md")
     return hits.select("doc_id", "path", "score").orderBy(*S.ordering("relevance")).limit(20).select("doc_id", "score")
 
 
@@ -161,7 +161,7 @@ def count_under_root(spark: SparkSession, d: str) -> DataFrame:
 
 @query("term_df", f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM hay) GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    return postings.document_frequencies(S.documents_as_files(spark, d).withColumn("path", F.col("doc_id")))
+    return postings.document_frequencies(S.documents_as_files(spark, d, apart=True).withColumn("path", F.col("doc_id")))
 
 
 @query("corpus_stats", f"WITH {TOKENS} SELECT count(*) AS n, round(avg(len(t)), 6) AS mean_length, CAST(sum(len(t)) AS BIGINT) AS tokens, CAST(max(len(t)) AS BIGINT) AS longest FROM hay")
@@ -177,7 +177,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {TOKENS}, x AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM hay) SELECT term, doc_id, count(*) AS tf, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos FROM x GROUP BY ALL",
 )
 def postings_index(spark: SparkSession, d: str) -> DataFrame:
-    index = postings.postings(S.documents_as_files(spark, d).withColumn("path", F.col("doc_id")), ("content",))
+    index = postings.postings(S.documents_as_files(spark, d, apart=True).withColumn("path", F.col("doc_id")), ("content",))
     return index.select("term", F.col("path").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
 
 

@@ -56,6 +56,15 @@ class Scratch:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out over all cores if it has fewer partitions than there are cores, so that work on its rows isn't left to a few.
+
+    Large tables have more splits than cores and are left as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def within(df: DataFrame, most: int) -> bool:
     """Whether a frame has at most so many rows; reads no more than it needs to tell."""
     return df.limit(most + 1).count() <= most
