@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.session import table
+from loam.session import spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces whose ids a worker remembers at most before it begins anew; some 100 MB.
@@ -236,4 +236,4 @@ def vocabulary_text(folder: str | None = None, name: str = TOKENIZER) -> str:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document."""
-    return encode(table(spark, sf_dir, "documents"), vocabulary_text())
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary_text())

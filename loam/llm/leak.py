@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.session import table
+from loam.session import spread, table
 
 #: Consecutive words that make a leak.
 WINDOW = 12
@@ -93,12 +93,12 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id): documents that hold at least twelve consecutive words of an item."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the leaked passages stand."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
 P9_SQL = r"""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.session import table
+from loam.session import spread, table
 
 # Element names of HTML; others in angle brackets are data or type parameters.
 ELEMENTS = """
@@ -315,10 +315,10 @@ def converted(files: DataFrame, key: str = "file_id", plain: bool = True) -> Dat
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, markup) of every language a content is written in."""
-    found = converted(table(spark, sf_dir, "indexed_files"), plain=False)
+    found = converted(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content")), plain=False)
     return found.select("file_id", F.explode("markup").alias("markup")).distinct()
 
 
 def p6_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, content): the plain text of the files that hold markup."""
-    return converted(table(spark, sf_dir, "indexed_files")).where(F.size("markup") > 0).select("file_id", "content").distinct()
+    return converted(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content"))).where(F.size("markup") > 0).select("file_id", "content").distinct()

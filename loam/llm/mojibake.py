@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.session import table
+from loam.session import spread, table
 
 # The encodings tried.
 ENCODINGS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "gbk")
@@ -284,9 +284,9 @@ def restored(files: DataFrame, key: str = "file_id") -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id) of files whose content shows characters of a wrong encoding, restorable or not."""
-    return restored(table(spark, sf_dir, "indexed_files")).where("found").select("file_id").distinct()
+    return restored(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content"))).where("found").select("file_id").distinct()
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, content): the mended contents of the files found."""
-    return restored(table(spark, sf_dir, "indexed_files")).where("found").select("file_id", F.col("content")).distinct()
+    return restored(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content"))).where("found").select("file_id", F.col("content")).distinct()

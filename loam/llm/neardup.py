@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.session import BROADCAST_ROWS, Scratch, table, within
+from loam.session import BROADCAST_ROWS, Scratch, spread, table, within
 
 #: A word: a CJK character, or a maximal run of other letters and digits.
 WORDS = re.compile(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+")
@@ -213,7 +213,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     too short for a sequence share none and are no pairs.
     """
     scratch = Scratch(spark, "neardup")
-    texts, members = coded(table(spark, sf_dir, "indexed_files").select("file_id", "content", "indexed_at"))
+    texts, members = coded(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content", "indexed_at")))
     found = links(texts, P2, scratch).select("a", "b")
     members = scratch.keep(members)
     one, two = members.select(F.col("file_id").alias("f"), F.col("code").alias("a")), members.select(F.col("file_id").alias("g"), F.col("code").alias("b"))
@@ -234,7 +234,7 @@ def long_enough(texts: DataFrame, words: int) -> DataFrame:
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, class_id, links): each file's class of exact copies (its least file id) and to how many other texts the text is similar."""
     scratch = Scratch(spark, "classes")
-    texts, members = coded(table(spark, sf_dir, "indexed_files").select("file_id", "content", "indexed_at"))
+    texts, members = coded(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content", "indexed_at")))
     found = scratch.keep(links(texts, P2, scratch).select("a", "b"))
     degree = found.select(F.explode(F.array("a", "b")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("links"))
     ids = members.groupBy("code").agg(F.min("file_id").alias("class_id"))
