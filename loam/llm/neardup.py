@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.session import BROADCAST_ROWS, Scratch, spread, table, within
+from loam.session import BROADCAST_ROWS, Scratch, small_join, spread, table, within
 
 #: A word: a CJK character, or a maximal run of other letters and digits.
 WORDS = re.compile(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+")
@@ -206,22 +206,31 @@ def coded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 P2 = Params(words=3, least=0.6)
 
 
+#: Copies of one text up to which all their pairs are listed; of more, each is paired with the first, which stands for them elsewhere.
+EXPANDED = 100
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id_a, file_id_b): files whose contents share at least 60 % of their distinct three-word sequences.
 
-    Copies belong to one text; pairs of texts are expanded to pairs of files as the result's columns demand. Copies of texts
-    too short for a sequence share none and are no pairs.
+    Copies belong to one text, and pairs of texts are expanded to pairs of files as the result's columns demand. A text with more than EXPANDED
+    copies is shown by its least file id, and its copies by their pairs with that one, so that no group's pairs grow as its square;
+    ``p2_classes`` has all memberships. Copies of texts too short for a sequence share none and are no pairs.
     """
     scratch = Scratch(spark, "neardup")
     texts, members = coded(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content", "indexed_at")))
     found = links(texts, P2, scratch).select("a", "b")
     members = scratch.keep(members)
-    one, two = members.select(F.col("file_id").alias("f"), F.col("code").alias("a")), members.select(F.col("file_id").alias("g"), F.col("code").alias("b"))
+    copied = scratch.keep(members.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("first")).where("n > 1"))
+    shown = small_join(members, copied.where(F.col("n") > EXPANDED).select("code", "first"), ["code"]).where("first IS NULL OR file_id = first")
+    one, two = shown.select(F.col("file_id").alias("f"), F.col("code").alias("a")), shown.select(F.col("file_id").alias("g"), F.col("code").alias("b"))
     across = found.join(one, "a").join(two, "b").select("f", "g")
-    copied = members.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code")
     enough = long_enough(texts.join(F.broadcast(copied) if within(copied, BROADCAST_ROWS) else copied, "code", "left_semi"), P2.words)
-    same = one.join(enough.select(F.col("code").alias("a")), "a").join(two.withColumnRenamed("b", "a"), "a").where("f < g").select("f", "g")
-    return across.union(same).select(F.least("f", "g").alias("file_id_a"), F.greatest("f", "g").alias("file_id_b")).distinct()
+    groups = small_join(members, copied.join(enough, "code"), ["code"], "inner")
+    few = groups.where(F.col("n") <= EXPANDED).select("code", "file_id")
+    same = few.withColumnRenamed("file_id", "f").join(few.withColumnRenamed("file_id", "g"), "code").where("f < g").select("f", "g")
+    many = groups.where((F.col("n") > EXPANDED) & (F.col("file_id") != F.col("first"))).select("first", "file_id")
+    return across.union(same).union(many).select(F.least("f", "g").alias("file_id_a"), F.greatest("f", "g").alias("file_id_b")).distinct()
 
 
 def long_enough(texts: DataFrame, words: int) -> DataFrame:

@@ -67,6 +67,14 @@ def test_edge_rows(spark, tmp_path):
     assert got[2] == (1, 1) and got[3] == (3, 1) and got[7] == (6, 0) and got[9] == (9, 0)
 
 
+def test_many_copies_are_paired_with_the_first(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "EXPANDED", 3)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, base, 1, "") for k in range(1, 8)] + [(20, base + " x", 1, ""), (21, base + " x", 1, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/indexed_files.parquet")
+    assert {tuple(r) for r in N.p2_found(spark, str(tmp_path)).collect()} == {(1, k) for k in range(2, 8)} | {(1, 20), (1, 21), (20, 21)}
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/indexed_files.parquet")
     assert N.p2_found(spark, str(tmp_path)).count() == 0
