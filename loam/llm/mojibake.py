@@ -104,7 +104,7 @@ _CYR_ALL = re.compile(f"[{_CYR}]")
 _EXAMPLE = re.compile(rf"“[^“”\n]{{1,{QUOTED}}}”|\"[^\"\n]{{1,{QUOTED}}}\"|«[^«»\n]{{1,{QUOTED}}}»|„[^„“\n]{{1,{QUOTED}}}“|‘[^‘’\n]{{1,{QUOTED}}}’|「[^「」\n]{{1,{QUOTED}}}」|`[^`\n]{{1,{QUOTED}}}`|'[^'\n]{{1,{QUOTED}}}'")
 
 
-@lru_cache(20_000)
+@lru_cache(2_000)
 def cost(text: str) -> float:
     """How implausible a text is; 0 for plain ASCII."""
     if text.isascii() and "&" not in text and "\\" not in text:

@@ -26,6 +26,9 @@ RATIO = 6
 #: Misread words that make a record count as misread; single rare words also come about by chance.
 EVIDENCE = 3
 
+#: Pairs of words that a worker counts before it passes them on.
+COUNTED = 300_000
+
 _FROM = "".join(x for v in SINGLES.values() for x in v)
 _TO = "".join(k for k, v in SINGLES.items() for _ in v)
 _SINGLE = str.maketrans(_FROM, _TO)
@@ -81,7 +84,7 @@ def pairs_of_words(recs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 found = tokens(text)
                 counts.update({(w, b.lower()) for b, w in zip(["", *found], found) if is_word(w)})
-            if len(counts) > 1_000_000:
+            if len(counts) > COUNTED:
                 yield rows(counts)
                 counts.clear()
         yield rows(counts)
