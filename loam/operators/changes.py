@@ -81,17 +81,25 @@ def apply_changes(index: DataFrame, changes: DataFrame, listing: DataFrame) -> D
 
     Tree operations are matched by exploding each file's ancestors and joining on equality, so no prefix join over all pairs is needed.
     """
-    trees = changes.where(F.col("op").isin("upsert_tree", "remove_tree")).select(F.col("path").alias("_root"), "op")
-
-    def below(files: DataFrame, ops: DataFrame) -> DataFrame:
-        return files.withColumn("_root", F.explode(ancestors(F.col("path")))).join(ops.select("_root").distinct(), "_root", "left_semi").drop("_root").dropDuplicates(["path"])
-
+    trees = changes.where(F.col("op").isin("upsert_tree", "remove_tree"))
     single = changes.where(F.col("op").isin("upsert", "remove")).select("path")
     gone = below(index, trees).select("path").union(single).distinct()
-    fresh = below(listing, trees.where("op = 'upsert_tree'")).unionByName(listing.join(changes.where("op = 'upsert'").select("path"), "path", "left_semi")).dropDuplicates(["path"])
+    fresh = rows_for(listing, changes)
     return index.join(gone.unionByName(fresh.select("path")).distinct(), "path", "left_anti").unionByName(fresh.select(*index.columns))
 
 
+def below(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """The files at or below the paths of ``roots``, one a path."""
+    tops = roots.select(F.col("path").alias("_root")).distinct()
+    return files.withColumn("_root", F.explode(ancestors(F.col("path")))).join(tops, "_root", "left_semi").drop("_root").dropDuplicates(["path"])
+
+
+def rows_for(listing: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of ``listing`` that (path, op) ask for: those of upserted paths, and of upserted trees all at or below their path."""
+    single = listing.join(changes.where("op = 'upsert'").select("path"), "path", "left_semi")
+    return below(listing, changes.where("op = 'upsert_tree'")).unionByName(single).dropDuplicates(["path"])
+
+
 def ancestors(path: Column) -> Column:
     """A path and all directories above it, for either separator."""
 

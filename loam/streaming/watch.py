@@ -29,11 +29,12 @@ def keep_current(stream: DataFrame, store: Store, rows_of: Callable[[DataFrame],
     """Applies each micro-batch to the store as one new version, and ends when the stream's present input is done.
 
     A batch that is run again after a failure finds its own version and changes nothing, as versions carry the batch's number.
-    ``rows_of`` gives the index rows of upserted paths.
+    ``rows_of`` gives the index rows that (path, op) ask for: of an ``upsert`` the path's, of an ``upsert_tree`` those of all files below the path.
+    Over a listing that is ``changes.rows_for``.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         changes = coalesce(split_renames(batch))
-        store.apply(changes, rows_of(changes.where(F.col("op") == "upsert")), tag=f"batch-{number}")
+        store.apply(changes, rows_of(changes.where(F.col("op").isin("upsert", "upsert_tree"))), tag=f"batch-{number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

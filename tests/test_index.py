@@ -8,6 +8,7 @@ import pytest
 from loam.api import ArgumentError, Tools, clean_exts
 from loam.cli import main
 from loam.manage import Index
+from loam.operators.changes import rows_for
 from loam.plans import search as S
 from loam.sources import extract as X
 from loam.sources.store import Store, StoreError
@@ -163,6 +164,19 @@ def test_stream_keeps_the_index_current(spark, tmp_path):
     assert store.meta()["version"] == 2
 
 
+def test_stream_fills_upserted_trees(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/i")
+    row = lambda p, t: (p, p.rsplit("/", 1)[1], "md", t, 1, 1, "text")
+    schema = "path string, name string, ext string, content string, mtime long, size long, kind string"
+    store.replace(spark.createDataFrame([row("/t/a", "old"), row("/t/gone", "x"), row("/t2/b", "b"), row("/c", "old")], schema))
+    feed = f"file://{tmp_path}/feed"
+    ops = [(1, "upsert_tree", "/t", None), (2, "upsert_tree", "/new", None), (3, "upsert", "/c", None)]
+    spark.createDataFrame(ops, "seq long, op string, path string, to_path string").selectExpr("seq", "timestamp_seconds(seq) AS ts", "op", "path", "to_path").write.parquet(feed)
+    disk = spark.createDataFrame([row("/t/a", "new"), row("/t/d/e", "e"), row("/t2/b", "not asked for"), row("/new/f", "f"), row("/newer/g", "g"), row("/c", "new")], schema)
+    watch.keep_current(watch.events(spark, feed), store, lambda wanted: rows_for(disk, wanted), f"{tmp_path}/ck").awaitTermination()
+    assert {(r.path, r.content) for r in store.files().collect()} == {("/t/a", "new"), ("/t/d/e", "e"), ("/t2/b", "b"), ("/new/f", "f"), ("/c", "new")}
+
+
 def test_sessions(spark, tmp_path):
     spark.createDataFrame([(1, 0, "upsert"), (2, 1, "remove"), (3, 9000, "upsert"), (4, 99999, "upsert")], "seq long, s long, op string").selectExpr("seq", "timestamp_seconds(s) AS ts", "op", "'/a' AS path", "'' AS to_path").write.parquet(f"{tmp_path}/e")
     q = watch.sessions(watch.events(spark, f"{tmp_path}/e"), "2 seconds").writeStream.format("memory").queryName("sess").outputMode("append").trigger(availableNow=True).start()
