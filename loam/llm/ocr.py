@@ -23,8 +23,10 @@ PAIRS = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"))
 SINGLES = {"a": "@", "o": "0", "l": "1!|i", "s": "5$", "c": "e", "b": "h8ß6", "f": "t", "q": "g9"}
 #: A form is taken for a misreading of one that is at least so many times as frequent (in records).
 RATIO = 6
-#: Misread words that make a record count as misread; single rare words also come about by chance.
+#: Misread words of letters only that make a record count as misread; single rare words also come about by chance. Of words with a digit
+#: or sign inside letters one is enough.
 EVIDENCE = 3
+_MIXED = r"\p{L}[0-9@!$|]+\p{L}"
 
 #: Pairs of words that a worker counts before it passes them on.
 COUNTED = 300_000
@@ -138,11 +140,12 @@ def occurrences(recs: DataFrame) -> DataFrame:
 
 
 def misread(recs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(path, fixes): records with at least EVIDENCE misread words, and what to read for each (word, before)."""
+    """(path, fixes): records with a misread word that has a digit or sign inside letters, or at least EVIDENCE of any; and what to read for each (word, before)."""
     fixing = scratch.keep(corrections(scratch.keep(pairs_of_words(recs))))
     found = small_join(occurrences(recs), fixing, ["word", "before"], "inner")
     fixes = F.collect_list(F.struct("word", "before", "form")).alias("fixes")
-    return found.groupBy("path").agg(fixes, F.count_distinct("word").alias("n")).where(F.col("n") >= EVIDENCE).select("path", "fixes")
+    seen = found.groupBy("path").agg(fixes, F.count_distinct("word").alias("n"), F.max(F.col("word").rlike(_MIXED)).alias("mixed"))
+    return seen.where(F.col("mixed") | (F.col("n") >= EVIDENCE)).select("path", "fixes")
 
 
 def lines(recs: DataFrame) -> DataFrame:

@@ -29,6 +29,15 @@ def test_kinds(spark):
     assert kinds(spark, rows) == {"/h": {"hyphenation"}, "/n": {"page_number"}, "/n2": {"page_number"}, "/r": {"running_header"}, "/rb": {"running_header", "page_number"}, "/m": {"misread"}}
 
 
+def test_one_digit_inside_letters_is_enough(spark):
+    # one or two misread words: with a digit or sign inside letters they count, of letters only they don't
+    rows = [(f"/g{k}", GOOD, 1, "") for k in range(12)] + [("/one", "the qu1ck handle", 1, ""), ("/sign", "every f@lder here", 1, ""), ("/two", "the quick bandle rnoves", 1, ""), ("/edge", "counts every1 folder", 1, "")]
+    assert kinds(spark, rows) == {"/one": {"misread"}}
+    scratch = Scratch(spark, "t")
+    got = {r.path: r.content for r in O.repaired(scratch.keep(O.records(spark.createDataFrame(rows, SCHEMA))), scratch).collect()}
+    assert got["/one"] == "the quick handle" and got["/two"] == "the quick bandle rnoves"
+
+
 def test_repaired(spark):
     rows = [(f"/g{k}", GOOD, 1, "") for k in range(12)] + [("/x", "Lab sheet / Box\nThe qu1ck ban-\ndle m0ves\nunder every\n12\n\fLab sheet / Box\nf0lder now.\n\nbox ..... 3\nNext one.\n13", 1, ""), ("/only", "- 3 -", 1, ""), ("/zh", "会 议 纪\n 要 。", 1, "")]
     scratch = Scratch(spark, "t")
