@@ -301,6 +301,24 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(entries, table(spark, sf_dir, "frn_roots"), Scratch(spark, "spans")).where(~F.col("loop")).select("volume", "frn", "descendants")
 
 
+def p7_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(volume, frn, tree, entry, exit, descendants, loop) of every entry; those on a cycle are marked by ``loop``, see ``intervals``."""
+    entries = table(spark, sf_dir, "frn_entries").select("volume", "frn", "parent_frn", "name", "usn")
+    return intervals(entries, table(spark, sf_dir, "frn_roots"), Scratch(spark, "spans"))
+
+
+def p7_descendant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(volume, ancestor, frn, loop): all that lies below each entry whose frn is divisible by 100; ``loop`` marks ancestors on a cycle.
+
+    Below an entry on a cycle lies what hangs from it off the cycle, as in its interval; the cycle's other entries are no descendants here.
+    """
+    scratch = Scratch(spark, "spans")
+    entries = table(spark, sf_dir, "frn_entries").select("volume", "frn", "parent_frn", "name", "usn")
+    spans = scratch.keep(intervals(entries, table(spark, sf_dir, "frn_roots"), scratch))
+    of = spans.where("frn % 100 = 0").select("volume", "frn", "loop")
+    return descendants(spans, of).join(of.withColumnRenamed("frn", "ancestor"), ["volume", "ancestor"])
+
+
 _TREE_SQL = r"""
 WITH RECURSIVE e AS (
   SELECT volume, frn, parent_frn, name FROM frn_entries WHERE frn IS NOT NULL
@@ -336,3 +354,21 @@ WITH RECURSIVE e AS (
 SELECT e.volume, e.frn, count(u.start) AS descendants FROM e LEFT JOIN up u ON u.volume = e.volume AND u.above = e.frn
 WHERE NOT EXISTS (SELECT 1 FROM loops l WHERE l.volume = e.volume AND l.frn = e.frn) GROUP BY ALL
 """
+P7_DESCENDANT_PAIRS_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT volume, frn, parent_frn FROM frn_entries WHERE frn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY volume, frn ORDER BY usn DESC NULLS LAST, parent_frn DESC NULLS LAST, name DESC NULLS LAST) = 1
+), up AS (
+  SELECT volume, frn AS start, parent_frn AS above FROM e
+  UNION
+  SELECT u.volume, u.start, e.parent_frn FROM up u JOIN e ON e.volume = u.volume AND e.frn = u.above
+), loops AS (SELECT DISTINCT volume, start AS frn FROM up WHERE above = start),
+tree AS (SELECT volume, frn, parent_frn FROM e WHERE NOT EXISTS (SELECT 1 FROM loops l WHERE l.volume = e.volume AND l.frn = e.frn)),
+below AS (
+  SELECT volume, frn AS start, parent_frn AS above FROM tree
+  UNION
+  SELECT b.volume, b.start, t.parent_frn FROM below b JOIN tree t ON t.volume = b.volume AND t.frn = b.above
+)
+SELECT b.volume, b.above AS ancestor, b.start AS frn, EXISTS (SELECT 1 FROM loops l WHERE l.volume = b.volume AND l.frn = b.above) AS "loop"
+FROM below b JOIN e ON e.volume = b.volume AND e.frn = b.above WHERE b.above % 100 = 0
+"""

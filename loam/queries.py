@@ -401,4 +401,6 @@ REGISTRY |= {
     "p4_watermarks": (replay.p4_watermarks, replay.P4_WATERMARKS_SQL),
     "p7_found": (hierarchy.p7_found, hierarchy.P7_SQL),
     "p7_descendants": (hierarchy.p7_descendants, hierarchy.P7_DESCENDANTS_SQL),
+    "p7_intervals": (hierarchy.p7_intervals, None),
+    "p7_descendant_pairs": (hierarchy.p7_descendant_pairs, hierarchy.P7_DESCENDANT_PAIRS_SQL),
 }

@@ -61,3 +61,15 @@ def test_descendants(spark):
     assert {r.frn: r.descendants for r in spans.collect()} == {10: 3, 11: 1, 12: 0, 13: 0}
     pairs = H.descendants(spans, spark.createDataFrame([("C:", 10), ("C:", 11)], "volume string, frn long"))
     assert {(r.ancestor, r.frn) for r in pairs.collect()} == {(10, 11), (10, 12), (10, 13), (11, 12)}
+
+
+def test_registered_descendants_have_every_entry(spark, tmp_path):
+    from loam.queries import REGISTRY
+
+    entries = [("C:", 100, 1, "a", 1, ""), ("C:", 101, 100, "b", 1, ""), ("C:", 102, 101, "c", 1, ""), ("C:", 200, 201, "x", 1, ""), ("C:", 201, 200, "y", 1, ""), ("C:", 202, 200, "hangs", 1, ""), ("C:", 203, 202, "on", 1, ""), ("D:", 100, None, "d", 1, ""), ("D:", 103, 100, "e", 1, "")]
+    spark.createDataFrame(entries, ENTRIES).write.parquet(f"{tmp_path}/frn_entries.parquet")
+    spark.createDataFrame([("C:", 1, "C:\\r")], ROOTS).write.parquet(f"{tmp_path}/frn_roots.parquet")
+    spans = {(r.volume, r.frn): (r.descendants, r.loop) for r in REGISTRY["p7_intervals"][0](spark, str(tmp_path)).collect()}
+    assert spans == {("C:", 100): (2, False), ("C:", 101): (1, False), ("C:", 102): (0, False), ("C:", 200): (2, True), ("C:", 201): (0, True), ("C:", 202): (1, False), ("C:", 203): (0, False), ("D:", 100): (1, False), ("D:", 103): (0, False)}
+    pairs = {(r.volume, r.ancestor, r.frn, r.loop) for r in REGISTRY["p7_descendant_pairs"][0](spark, str(tmp_path)).collect()}
+    assert pairs == {("C:", 100, 101, False), ("C:", 100, 102, False), ("C:", 200, 202, True), ("C:", 200, 203, True), ("D:", 100, 103, False)}
