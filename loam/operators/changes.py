@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,8 +44,9 @@ def coalesce(changes: DataFrame, *by: str) -> DataFrame:
     return changes.groupBy(*by, "path").agg(F.max(F.struct("seq", "op")).alias("_l")).select(*by, "path", "_l.op")
 
 
-def quiet_batches(events: DataFrame, ts: str, quiet_seconds: float, seq: str = "seq") -> DataFrame:
-    """Adds ``batch``: events that follow each other within the quiet time belong together.
+def quiet_batches(events: DataFrame, ts: str, quiet_seconds: float, seq: str = "seq", path: str | None = None, high_water: int = HIGH_WATER) -> DataFrame:
+    """Adds ``batch``: events that follow each other within the quiet time belong together. With ``path`` a batch also closes with the event
+    that brings it to ``high_water`` distinct paths; the next event begins another one.
 
     The quiet time is global, so batches are found over one sorted column. Only the timestamps of batch starts are numbered in one task;
     the events themselves are cut to days first and stay distributed.
@@ -59,7 +63,50 @@ def quiet_batches(events: DataFrame, ts: str, quiet_seconds: float, seq: str = "
     per_day = starts.groupBy("_day").agg(F.sum("_new").alias("_n"))
     offset = per_day.select("_day", F.coalesce(F.sum("_n").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     numbered = starts.withColumn("_run", F.sum("_new").over(within)).join(offset, "_day")
-    return numbered.withColumn("batch", (F.col("_off") + F.col("_run")).cast("long")).drop("_us", "_day", "_before", "_gap", "_new", "_run", "_off")
+    numbered = numbered.withColumn("batch", (F.col("_off") + F.col("_run")).cast("long"))
+    if path is not None:
+        numbered = closed_at(numbered, "_us", seq, path, high_water)
+    return numbered.drop("_us", "_day", "_before", "_gap", "_new", "_run", "_off")
+
+
+def closed_at(events: DataFrame, us: str, seq: str, path: str, high_water: int) -> DataFrame:
+    """The events with ``batch`` numbered anew, each batch also divided wherever it reaches ``high_water`` distinct paths.
+
+    Where a batch closes depends on all of it before, so a batch with that many paths is read in order by one task, which remembers
+    the open batch's paths only (at most ``high_water``); what comes back is one row a close. Events equal in time and seq stay together.
+    Batches with fewer paths aren't touched but for their number.
+    """
+    sizes = events.where(F.col(path).isNotNull()).groupBy("batch", path).agg(F.lit(1).alias("_1")).groupBy("batch").agg(F.count(F.lit(1)).alias("_n"))
+    full = sizes.where(F.col("_n") >= high_water).select("batch")
+    if full.isEmpty():
+        return events
+    rows = events.join(full, "batch", "left_semi").select("batch", F.col(us).alias("us"), F.col(seq).cast("long").alias("seq"), F.col(path).cast("string").alias("path"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, held, at, waiting, closes, out = None, set(), None, False, 0, []
+        for part in batches:
+            for b, us, s, p in zip(part["batch"], part["us"], part["seq"], part["path"]):
+                if b != batch:
+                    batch, held, waiting, closes = b, set(), False, 0
+                elif waiting and (us, s) != at:
+                    held, waiting, closes = set(), False, closes + 1
+                    out.append((b, us, s, closes))
+                at = (us, s)
+                if p is not None:
+                    held.add(p)
+                waiting = len(held) >= high_water
+            yield pd.DataFrame(out, columns=["batch", "_fus", "_fseq", "_k"])
+            out = []
+
+    starts = rows.repartition("batch").sortWithinPartitions("batch", "us", "seq").mapInPandas(run, "batch long, _fus long, _fseq long, _k long")
+    on = (F.col("batch") == F.col("_b")) & (F.col(us) == F.col("_fus")) & (F.col(seq) == F.col("_fseq"))
+    flagged = events.join(full, "batch", "left_semi").join(starts.withColumnRenamed("batch", "_b"), on, "left").drop("_b", "_fus", "_fseq")
+    own = F.coalesce(F.max("_k").over(W.partitionBy("batch").orderBy(us, seq)), F.lit(0))
+    parts = flagged.withColumn("_own", own).drop("_k").unionByName(events.join(full, "batch", "left_anti").withColumn("_own", F.lit(0).cast("long")))
+    # one row a batch: its number moves by the closes in all batches before it
+    closes = events.select("batch").distinct().join(starts.groupBy("batch").agg(F.max("_k").alias("_c")), "batch", "left")
+    moved = closes.select("batch", F.coalesce(F.sum("_c").over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_moved"))
+    return parts.join(moved, "batch").withColumn("batch", F.col("batch") + F.col("_moved") + F.col("_own")).drop("_moved", "_own")
 
 
 def upsert(index: DataFrame, rows: DataFrame, key: str = "path") -> DataFrame:

@@ -201,12 +201,12 @@ def file_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("debounce_last_op", f"WITH {_EVENTS}, {_BATCHES} SELECT batch, path, arg_max(op, seq) AS op FROM b GROUP BY batch, path")
 def debounce_last_op(spark: SparkSession, d: str) -> DataFrame:
-    return C.coalesce(C.quiet_batches(file_events(spark, d), "ts", 600), "batch")
+    return C.coalesce(C.quiet_batches(file_events(spark, d), "ts", 600, path="path"), "batch")
 
 
 @query("quiet_window_batches", f"WITH {_EVENTS}, {_BATCHES} SELECT batch, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM b GROUP BY batch")
 def quiet_window_batches(spark: SparkSession, d: str) -> DataFrame:
-    return C.quiet_batches(file_events(spark, d), "ts", 600).groupBy("batch").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return C.quiet_batches(file_events(spark, d), "ts", 600, path="path").groupBy("batch").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @query("coalesce_all", f"WITH {_EVENTS} SELECT path, arg_max(op, seq) AS op FROM e GROUP BY path")

@@ -36,6 +36,17 @@ def test_quiet_batches_over_days(spark):
     assert C.quiet_batches(ev.limit(0), "ts", 60).count() == 0
 
 
+def test_high_water_closes_a_batch(spark):
+    t0 = datetime(2025, 1, 1, 23, 59, 57)
+    # paths by second; a pause before 100, a second full batch after it
+    at = [(0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "a"), (5, "b"), (6, "c"), (100, "d"), (200, "a"), (201, "b"), (202, None), (203, "c"), (204, "c"), (300, "x")]
+    ev = spark.createDataFrame([(i, t0 + timedelta(seconds=s), p) for i, (s, p) in enumerate(at)], "seq long, ts timestamp_ntz, path string")
+    got = [r.batch for r in C.quiet_batches(ev, "ts", 60, path="path", high_water=3).orderBy("seq").collect()]
+    assert got == [1, 1, 1, 1, 2, 2, 2, 3, 4, 4, 4, 4, 5, 6]
+    assert [r.batch for r in C.quiet_batches(ev, "ts", 60, path="path").orderBy("seq").collect()] == [1] * 7 + [2] + [3] * 5 + [4]
+    assert C.quiet_batches(ev.limit(0), "ts", 60, path="path").count() == 0
+
+
 def test_tree_operations_spare_siblings(spark):
     index = spark.createDataFrame([(p, 1, 1) for p in ("/top", "/sub", "/sub/a", "/sub/x/b", "/sub2/c")], INDEX)
     assert paths_of(C.remove_trees(index, ["/sub"])) == ["/sub2/c", "/top"]
