@@ -71,12 +71,12 @@ def dual_form(text: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """1024-based with one decimal, halves to even; whole for bytes."""
+    """1024-based with one decimal, halves to even; whole for bytes. Null for null."""
     s = size.cast("double")
     out = F.format_string("%d B", size.cast("long"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         out = F.when(s >= 1024.0**k, F.format_string(f"%.1f {unit}", F.bround(s / 1024.0**k, 1))).otherwise(out)
-    return out
+    return F.when(size.isNotNull(), out)
 
 
 def human_ago(seconds: Column) -> Column:

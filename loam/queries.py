@@ -345,6 +345,14 @@ def human_bytes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "indexed_files").where("size < 1073741824").select("size", X.human_bytes(F.col("size")).alias("shown")).distinct()
 
 
+@query(
+    "human_bytes_all",
+    "SELECT DISTINCT size, CASE WHEN size IS NULL THEN NULL WHEN size >= 1099511627776 THEN printf('%.1f TB', size / 1099511627776.0) WHEN size >= 1073741824 THEN printf('%.1f GB', size / 1073741824.0) WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576.0) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE printf('%d B', size) END AS shown FROM indexed_files",
+)
+def human_bytes_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "indexed_files").select("size", X.human_bytes(F.col("size")).alias("shown")).distinct()
+
+
 @query("middle_ellipsis", "SELECT DISTINCT path, CASE WHEN length(path) <= 24 THEN path ELSE left(path, 14) || '…' || right(path, 9) END AS shown FROM indexed_files")
 def middle_ellipsis(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "indexed_files").select("path", paths.middle_ellipsis(F.col("path"), 24).alias("shown")).distinct()

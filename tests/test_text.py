@@ -77,3 +77,18 @@ def test_segments():
     assert segments("", []) == [("", False)]
     assert wrap("a b", [(2, 3)]) == "a «b»"
     assert highlight_name("Report-report", ['"report"']) == [(0, 6), (7, 13)]
+
+
+def test_human_bytes_of_every_size(spark, tmp_path):
+    import duckdb
+
+    from loam.queries import REGISTRY
+
+    sizes = [None, 0, 1023, 1024, 1536, 1 << 20, (1 << 30) - 1, 1 << 30, 3 << 29, 1 << 40, 5 << 41, 1 << 50]
+    spark.createDataFrame([(s,) for s in sizes], "size long").write.parquet(f"{tmp_path}/indexed_files.parquet")
+    query, sql = REGISTRY["human_bytes_all"]
+    got = {(r.size, r.shown) for r in query(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW indexed_files AS SELECT * FROM '{tmp_path}/indexed_files.parquet/*.parquet'")
+    assert got == set(con.execute(sql).fetchall()) and len(got) == len(sizes)
+    assert {(None, None), (3 << 29, "1.5 GB"), (5 << 41, "10.0 TB")} <= got
