@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from loam.session import Scratch, small_join, table
 
-#: Rows that one task may take whole: the residue of peeling, and the contracted list that is ranked last. 24 bytes a row and column.
-LOCAL_ROWS = 1_000_000
+#: Rows that one task may take whole: the residue of peeling, and the contracted list that is ranked last. About a megabyte.
+LOCAL_ROWS = 16_384
 #: One list element in so many stays when a list is contracted.
-CONTRACT = 5
+CONTRACT = 8
 #: Children of one parent that one sort takes, about, if that parent holds a third of all nodes.
 SIBLINGS = 400_000
-#: Tour elements of one tree that one task replays in order.
-CHUNK = 100_000
+#: Places of a tree's tour that one task replays in order, and pieces of that size whose open folders one task puts together.
+CHUNK, PIECES = 100_000, 1_000
 
 BROKEN, CYCLE, ROOTED = 0, 1, 2
 
@@ -33,18 +33,20 @@ def latest_entries(entries: DataFrame) -> DataFrame:
 def peel(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Ids of the nodes that lie on cycles, from (id, pid): leaves are peeled until only cycles are left.
 
-    A round drops every node that is nobody's parent. Once what is left is at most LOCAL_ROWS the rest is peeled in one task; a
-    round that drops nothing leaves cycles only.
+    A round drops every node that is nobody's parent. While a round drops half of what is left, rounds grow with the logarithm of the nodes
+    only. Where one drops less, as on long chains, every node that is left jumps to its ancestor at twice the distance instead: past the
+    number of nodes, jumps have left the chains and end on cycles, and each cycle's node is reached. What is left is peeled in one
+    task once it is at most LOCAL_ROWS.
     """
-    left, before = links.where(F.col("pid").isNotNull()).select("id", "pid"), None
+    left = links.where(F.col("pid").isNotNull()).select("id", "pid")
     count = left.count()
-    while count > LOCAL_ROWS and count != before:
+    while count > LOCAL_ROWS:
         parents = left.select(F.col("pid").alias("id")).distinct()
         smaller = scratch.keep(left.join(parents, "id", "left_semi"))
         scratch.drop(left)
-        left, before, count = smaller, count, smaller.count()
-    if count == before:
-        return left.select("id")
+        before, left, count = count, smaller, smaller.count()
+        if count > LOCAL_ROWS and 2 * count > before:
+            return on_cycles(left, count, scratch)
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = pd.concat(list(batches) or [pd.DataFrame({"id": [], "pid": []}, dtype="int64")])
@@ -69,6 +71,18 @@ def peel(links: DataFrame, scratch: Scratch) -> DataFrame:
     return left.coalesce(1).mapInPandas(rest, "id long")
 
 
+def on_cycles(left: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+    """Ids of the nodes on cycles by doubled jumps, as many rounds as the number of nodes has binary digits."""
+    jumps, reach = left, 1
+    while reach < count:
+        to = jumps.select(F.col("id").alias("pid"), F.col("pid").alias("_to"))
+        further = scratch.keep(jumps.join(to, "pid").select("id", F.col("_to").alias("pid")))
+        if jumps is not left:
+            scratch.drop(jumps)
+        jumps, reach = further, reach * 2
+    return jumps.select(F.col("pid").alias("id")).distinct()
+
+
 def siblings(inner: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """From (id, pid) of nodes below others: (id, pid, sib) with the next sibling, and (id, kid) with each parent's first child.
 
@@ -147,11 +161,13 @@ def rank_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"e": e, "d": d + d_end[at], "last": take["last"].to_numpy("int64"), "kind": take["kind"].to_numpy("int32"), "root": take["root"].to_numpy("int64")})
 
 
-def tours(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The nodes (id, volume, frn, name) and their tour elements (e, d, last, kind, root).
+def tours(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes (id, volume, frn, name), the leaves (id, pid, kind, root) and the ranked tour elements of all other nodes (e, d, last, kind, root).
 
-    e is 2*id on entry and 2*id+1 on exit (a leaf has one element of weight 2). ``d`` falls along the tour; ``last`` names the tree,
-    ``kind`` says how its top ends and ``root`` is the root's frn or -1.
+    The first round of peeling takes the leaves. A leaf's place in the tour follows from its parent's, so it is no element of its own: the
+    list holds inner nodes only, e is 2*id on entry and 2*id+1 on exit, and an entry weighs 1 and 2 more for each leaf below it. ``d`` is
+    the weight from an element to the tour's end and falls along the tour; ``last`` names the tree, ``kind`` says how its top ends and
+    ``root`` is the root's frn or -1. A leaf without a parent has kind and root itself.
     """
     nodes = scratch.keep(latest_entries(entries).withColumn("id", F.monotonically_increasing_id()))
     total = nodes.count()
@@ -166,24 +182,27 @@ def tours(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataF
             F.when(F.col("top").isNotNull(), F.col("parent_frn")).otherwise(F.lit(-1)).alias("root"),
         )
     )
-    loops = scratch.keep(peel(links, scratch)).withColumn("loop", F.lit(True))
-    cut = links.join(loops, "id", "left").select(
-        "id", F.when(F.col("loop").isNull(), F.col("pid")).alias("pid"), F.coalesce("kind", F.when(F.col("loop"), F.lit(CYCLE))).alias("kind"), "root"
+    kids = scratch.keep(links.where(F.col("pid").isNotNull()).groupBy(F.col("pid").alias("id")).agg(F.count(F.lit(1)).alias("kids")))
+    marked = scratch.keep(links.join(kids, "id", "left"))
+    leaves, inner = marked.where(F.col("kids").isNull()).drop("kids"), marked.where(F.col("kids").isNotNull())
+    loops = scratch.keep(peel(inner, scratch)).withColumn("loop", F.lit(True))
+    cut = inner.join(loops, "id", "left").select(
+        "id", F.when(F.col("loop").isNull(), F.col("pid")).alias("pid"), F.coalesce("kind", F.when(F.col("loop"), F.lit(CYCLE))).alias("kind"), "root", "kids", F.col("pid").alias("own"),
     )
-    inner = cut.where(F.col("pid").isNotNull()).select("id", "pid")
-    linked, first = siblings(inner, total)
+    linked, first = siblings(cut.where(F.col("pid").isNotNull()).select("id", "pid"), total)
+    # of a node's children those that are inner and not cut off stand in the list; the rest of its count are leaves
+    listed = cut.where(F.col("own").isNotNull()).groupBy(F.col("own").alias("id")).agg(F.count(F.lit(1)).alias("listed"))
     whole = scratch.keep(
-        cut.where(F.col("pid").isNull()).select("id", "pid", F.lit(None).cast("long").alias("sib"), "kind", "root")
-        .unionByName(linked.select("id", "pid", "sib", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("root")))
-        .join(first, "id", "left")
+        cut.select("id", "pid", "kind", "root", "kids").join(linked.select("id", "sib"), "id", "left").join(first, "id", "left").join(listed, "id", "left")
+        .withColumn("leaves", F.col("kids") - F.coalesce("listed", F.lit(0)))
     )
-    leaf, ends = F.col("kid").isNull(), F.col("pid").isNull()
+    ends = F.col("pid").isNull()
+    leave_at = F.col("id") * 2 + 1
+    enter = F.struct((F.col("id") * 2).alias("e"), F.coalesce(F.col("kid") * 2, leave_at).alias("ptr"), (2 * F.col("leaves") + 1).alias("d"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("root"))
     onward = F.when(F.col("sib").isNotNull(), F.col("sib") * 2).otherwise(F.col("pid") * 2 + 1)
-    # where a parent is reached again it has children, so its exit is an element of its own
-    enter = F.struct((F.col("id") * 2).alias("e"), F.when(leaf, onward).otherwise(F.col("kid") * 2).alias("ptr"), F.when(leaf, 2).otherwise(1).cast("long").alias("d"), F.when(leaf & ends, F.col("id")).alias("last"), F.when(leaf, F.col("kind")).alias("kind"), F.when(leaf, F.col("root")).alias("root"))
-    leave = F.struct((F.col("id") * 2 + 1).alias("e"), onward.alias("ptr"), F.lit(1).cast("long").alias("d"), F.when(ends, F.col("id")).alias("last"), F.col("kind").alias("kind"), F.col("root").alias("root"))
-    elements = scratch.keep(whole.select(F.explode(F.when(leaf, F.array(enter)).otherwise(F.array(enter, leave))).alias("x")).select("x.*"))
-    return nodes, rank(elements, scratch)
+    leave = F.struct(leave_at.alias("e"), onward.alias("ptr"), F.lit(1).cast("long").alias("d"), F.when(ends, F.col("id")).alias("last"), F.when(ends, F.col("kind")).alias("kind"), F.when(ends, F.col("root")).alias("root"))
+    elements = scratch.keep(whole.select(F.explode(F.array(enter, leave)).alias("x")).select("x.*"))
+    return nodes, leaves, rank(elements, scratch)
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, int], tuple]]:
@@ -212,15 +231,37 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["last", "chunk", "pops", "names"])
 
 
+def _together(pieces: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring pieces of one tree as one piece."""
+    pops, names = 0, []
+    for row in pieces.sort_values("chunk", ascending=False).itertuples(index=False):
+        pops += max(0, row.pops - len(names))
+        names = names[: max(0, len(names) - row.pops)] + list(row.names)
+    return pd.DataFrame([(pieces["last"].iloc[0], int(pieces["over"].iloc[0]), pops, names)], columns=["last", "chunk", "pops", "names"])
+
+
 def _stacks(pieces: pd.DataFrame) -> pd.DataFrame:
-    """The names open at the start of each piece of one tree, in tour order (chunks fall)."""
-    out, stack = [], []
+    """The names open at the start of each of some neighbouring pieces of one tree, in tour order (chunks fall); ``open`` is what is open before them."""
+    before = pieces["open"].iloc[0]
+    out, stack = [], list(before) if before is not None else []
     for row in pieces.sort_values("chunk", ascending=False).itertuples(index=False):
         out.append((row.last, row.chunk, list(stack)))
         stack = stack[: len(stack) - row.pops] + list(row.names)
     return pd.DataFrame(out, columns=["last", "chunk", "open"])
 
 
+def opened(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """(last, chunk, open): the names open at the start of each piece. Pieces are put together PIECES at a time, level by level, so that no task
+    takes all of a tree's."""
+    over = pieces.withColumn("over", F.floor(F.col("chunk") / PIECES))
+    if (pieces.agg(F.max("chunk")).first()[0] or 0) < PIECES:
+        seeded = over.withColumn("open", F.lit(None).cast("array<string>"))
+    else:
+        above = scratch.keep(over.groupBy("last", "over").applyInPandas(_together, "last long, chunk long, pops long, names array<string>"))
+        seeded = over.join(opened(above, scratch).select("last", F.col("chunk").alias("over"), "open"), ["last", "over"])
+    return seeded.groupBy("last", "over").applyInPandas(_stacks, "last long, chunk long, open array<string>")
+
+
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walks each piece of a tour with the stack of open folders and gives each entered node its depth and path."""
     key, stack = None, []
@@ -234,12 +275,11 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     stack.append(f"{stack[-1]}\\{name or ''}")
             if row.step == 1:
                 stack.pop()
-            elif row.step != 3:
+            elif row.step == 0:
                 path = f"{stack[-1]}\\{row.name or ''}"
-                out.append((row.volume, row.frn, row.root, len(stack), path))
-                if row.step == 0:
-                    stack.append(path)
-        yield pd.DataFrame(out, columns=["volume", "frn", "root_frn", "node_depth", "full_path"])
+                out.append((row.id, row.root, len(stack), path))
+                stack.append(path)
+        yield pd.DataFrame(out, columns=["id", "root_frn", "node_depth", "full_path"])
 
 
 def hierarchy(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
@@ -247,40 +287,58 @@ def hierarchy(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFra
 
     ``rooted``: the chain of parents within the volume reaches a root. ``cycle``: it runs into a loop (a node that is its own parent is
     one). ``broken``: it ends elsewhere, at a null or unknown parent. The latter two have -1, -1 and the empty string. A null name
-    counts as empty; a root that is listed twice takes its greatest path. Empty tables give an empty result.
+    counts as empty; a root that is listed twice takes its greatest path. Empty tables give an empty result. Inner nodes get their paths
+    from the tour, leaves theirs from their parents.
     """
-    nodes, ranked = tours(entries, roots, scratch)
-    lost = ranked.where((F.col("kind") != ROOTED) & (F.col("e") % 2 == 0)).select(F.shiftright("e", 1).alias("id"), "kind").join(nodes, "id")
-    outcome = F.when(F.col("kind") == CYCLE, "cycle").otherwise("broken")
-    none = lost.select("volume", "frn", outcome.alias("outcome"), F.lit(-1).cast("long").alias("root_frn"), F.lit(-1).cast("long").alias("node_depth"), F.lit("").alias("full_path"))
-    good = ranked.where(F.col("kind") == ROOTED).select("e", "d", "last", "root", F.shiftright("e", 1).alias("id"), F.floor(F.col("d") / CHUNK).alias("chunk"))
-    # 0: entry, 1: exit, 2: a leaf, whose only element is its entry
-    step = F.when(F.col("e") % 2 == 1, 1).when(F.count(F.lit(1)).over(W.partitionBy("id")) == 1, 2).otherwise(0)
-    tour = scratch.keep(good.join(nodes, "id").withColumn("step", step).drop("e", "id"))
+    nodes, leaves, ranked = tours(entries, roots, scratch)
     paths = roots.where(F.col("frn").isNotNull()).groupBy("volume", F.col("frn").alias("root")).agg(F.max("root_path").alias("root_path"))
+    good = ranked.where(F.col("kind") == ROOTED).select("d", "last", "root", F.shiftright("e", 1).alias("id"), (F.col("e") % 2).cast("int").alias("step"), F.floor(F.col("d") / CHUNK).alias("chunk"))
+    tour = scratch.keep(good.join(nodes.select("id", "volume", "name"), "id"))
     order = ["last", F.desc("chunk"), F.desc("d")]
     long = tour.groupBy("last").agg(F.max("chunk").alias("c")).where("c > 0").select("last")
     pieces = tour.join(long, "last", "left_semi").select("last", "chunk", "d", "step", "name").repartition("last", "chunk").sortWithinPartitions(*order)
-    stacks = pieces.mapInPandas(_summaries, "last long, chunk long, pops long, names array<string>").groupBy("last").applyInPandas(_stacks, "last long, chunk long, open array<string>")
-    seeds = scratch.keep(stacks)
+    seeds = opened(scratch.keep(pieces.mapInPandas(_summaries, "last long, chunk long, pops long, names array<string>")), scratch)
     firsts = tour.groupBy("last", "chunk").agg(F.max("root").alias("root"), F.max("volume").alias("volume")).join(seeds, ["last", "chunk"])
     rows = tour.withColumn("open", F.lit(None).cast("array<string>"))
-    seed_rows = firsts.select("last", "chunk", F.lit(2**62).alias("d"), "volume", F.lit(-1).cast("long").alias("frn"), F.lit(None).cast("string").alias("name"), "root", F.lit(3).alias("step"), "open")
+    seed_rows = firsts.select("last", "chunk", F.lit(2**62).alias("d"), "volume", F.lit(-1).cast("long").alias("id"), F.lit(None).cast("string").alias("name"), "root", F.lit(3).alias("step"), "open")
     walk = small_join(rows.unionByName(seed_rows, allowMissingColumns=True), paths, ["volume", "root"])
-    walk = walk.select("last", "chunk", "d", "step", "volume", "frn", "root", "name", "root_path", "open").repartition("last", "chunk").sortWithinPartitions(*order)
-    found = walk.mapInPandas(_replay, "volume string, frn long, root_frn long, node_depth long, full_path string")
-    return found.select("volume", "frn", F.lit("rooted").alias("outcome"), "root_frn", "node_depth", "full_path").union(none)
+    walk = walk.select("last", "chunk", "d", "step", "id", "root", "name", "root_path", "open").repartition("last", "chunk").sortWithinPartitions(*order)
+    found = walk.mapInPandas(_replay, "id long, root_frn long, node_depth long, full_path string").withColumn("kind", F.lit(ROOTED))
+    lost = ranked.where((F.col("kind") != ROOTED) & (F.col("e") % 2 == 0)).select(F.shiftright("e", 1).alias("id"), F.lit(-1).cast("long").alias("root_frn"), F.lit(-1).cast("long").alias("node_depth"), F.lit("").alias("full_path"), "kind")
+    inner = scratch.keep(found.unionByName(lost))
+    named = nodes.select("id", "volume", "frn", F.coalesce("name", F.lit("")).alias("name"))
+    below = leaves.where(F.col("pid").isNotNull()).select("id", "pid").join(named, "id")
+    below = small_join(below, inner.withColumnRenamed("id", "pid"), ["pid"], "inner")
+    rooted = F.col("kind") == ROOTED
+    below = below.select("volume", "frn", "kind", "root_frn", F.when(rooted, F.col("node_depth") + 1).otherwise(F.lit(-1)).alias("node_depth"), F.when(rooted, F.concat_ws("\\", "full_path", "name")).otherwise(F.lit("")).alias("full_path"))
+    alone = small_join(leaves.where(F.col("pid").isNull()).select("id", "kind", "root").join(named, "id"), paths, ["volume", "root"])
+    alone = alone.select("volume", "frn", "kind", F.when(rooted, F.col("root")).otherwise(F.lit(-1)).alias("root_frn"), F.when(rooted, 1).otherwise(-1).cast("long").alias("node_depth"), F.when(rooted, F.concat_ws("\\", F.coalesce("root_path", F.lit("")), "name")).otherwise(F.lit("")).alias("full_path"))
+    outcome = F.when(rooted, "rooted").when(F.col("kind") == CYCLE, "cycle").otherwise("broken")
+    whole = inner.join(named, "id").select(*alone.columns).unionByName(below).unionByName(alone)
+    return whole.select("volume", "frn", outcome.alias("outcome"), "root_frn", "node_depth", "full_path")
 
 
 def intervals(entries: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(volume, frn, tree, entry, exit, descendants, loop): a node lies below another iff its interval lies within the other's in one tree.
 
     ``tree`` is the id of the top node. Nodes on a cycle (``loop``) each top a tree of their own, made of what hangs from them off the cycle.
+    A parent's leaves stand one after the other right behind its entry.
     """
-    nodes, ranked = tours(entries, roots, scratch)
-    both = ranked.groupBy(F.shiftright("e", 1).alias("id")).agg(F.max("d").alias("a"), F.min("d").alias("b"), F.count(F.lit(1)).alias("n"), F.max("last").alias("tree"), F.max("kind").alias("kind"))
-    leave = F.when(F.col("n") == 1, F.col("a") - 1).otherwise(F.col("b"))
-    return both.join(nodes, "id").select("volume", "frn", "tree", (-F.col("a")).alias("entry"), (-leave).alias("exit"), F.floor((F.col("a") - leave) / 2).cast("long").alias("descendants"), ((F.col("kind") == CYCLE) & (F.col("tree") == F.col("id"))).alias("loop"))
+    nodes, leaves, ranked = tours(entries, roots, scratch)
+    both = ranked.groupBy(F.shiftright("e", 1).alias("id")).agg(F.max("d").alias("a"), F.min("d").alias("z"), F.max("last").alias("tree"), F.max("kind").alias("kind"))
+    inner = scratch.keep(both)
+    # leaves are numbered in buckets of their parent, and the buckets behind each other, so a folder with a third of all nodes is no single sort
+    total = leaves.count()
+    buckets = 1 + total // (3 * SIBLINGS)
+    dealt = leaves.where(F.col("pid").isNotNull()).select("id", "pid").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    sizes = dealt.groupBy("pid", "b").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("pid", "b", F.coalesce(F.sum("n").over(W.partitionBy("pid").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = dealt.withColumn("j", F.row_number().over(W.partitionBy("pid", "b").orderBy("id"))).join(offsets, ["pid", "b"]).select("id", "pid", (F.col("before") + F.col("j") - 1).alias("j"))
+    under = small_join(placed, inner.select(F.col("id").alias("pid"), F.col("a").alias("top"), "tree", "kind"), ["pid"], "inner")
+    below = under.select("id", (F.col("top") - 1 - 2 * F.col("j")).alias("a"), (F.col("top") - 2 - 2 * F.col("j")).alias("z"), "tree", "kind")
+    alone = leaves.where(F.col("pid").isNull()).select("id", F.lit(2).cast("long").alias("a"), F.lit(1).cast("long").alias("z"), F.col("id").alias("tree"), "kind")
+    whole = inner.unionByName(below).unionByName(alone).join(nodes, "id")
+    return whole.select("volume", "frn", "tree", (-F.col("a")).alias("entry"), (-F.col("z")).alias("exit"), F.floor((F.col("a") - F.col("z")) / 2).cast("long").alias("descendants"), ((F.col("kind") == CYCLE) & (F.col("tree") == F.col("id"))).alias("loop"))
 
 
 def descendants(spans: DataFrame, of: DataFrame) -> DataFrame:

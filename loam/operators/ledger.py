@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.folder import Folder
 from loam.functions.paths import strip_verbatim
-from loam.session import small_join, table
+from loam.session import Scratch, small_join, table
 
 EVENTS = T.StructType(
     [
@@ -19,109 +21,249 @@ EVENTS = T.StructType(
         T.StructField("state", T.StringType()),
         T.StructField("token", T.LongType()),
         T.StructField("expires_ms", T.LongType()),
+        T.StructField("upto", T.LongType()),
+        T.StructField("version", T.ArrayType(T.LongType())),
     ]
 )
+NAMES = [f.name for f in EVENTS]
 PENDING, LEASED, DONE = "pending", "leased", "done"
+#: Directories that the log is dealt to by a hash of the unit, so that a commit reads the events of a few units only.
+BUCKETS = 16
+#: How long a run of the index may hold its lease.
+LEASE_MS = 3_600_000
+
+
+def as_events(df: DataFrame) -> DataFrame:
+    """A frame in the shape of the log; what it lacks is null."""
+    return df.select([(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS])
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The current (unit, state, token, expires_ms) of each unit of an event log.
+    """What the log says of each unit: (unit, state, token, expires_ms, upto, done_version, wanted_version).
 
     The highest token wins; of one token ``done`` beats ``leased`` beats ``pending``. A stale writer holds a lower token than the
-    lease that replaced it, so its late event changes nothing. Repeated events fold to one. Events without a unit are ignored;
-    a null token counts as 0. Folding is a partial aggregate, so a unit with many events is combined before the shuffle.
+    lease that replaced it, so its late event changes no state. ``upto`` is how far a sequence is done: the furthest of its commits, as
+    what was committed stays done whatever lease came later. ``done_version`` is that of the newest commit, ``wanted_version`` that of the
+    newest demand. Repeated events fold to one, events without a unit are ignored, a null token counts as 0. Folding is a partial
+    aggregate, so a unit with many events is combined before the shuffle.
     """
-    rank = F.when(F.col("state") == DONE, 2).when(F.col("state") == LEASED, 1).otherwise(0)
-    top = F.max(F.struct(F.coalesce("token", F.lit(0)).alias("token"), rank.alias("rank"), F.coalesce("expires_ms", F.lit(0)).alias("expires_ms")))
+    done = F.col("state") == DONE
+    rank = F.when(done, 2).when(F.col("state") == LEASED, 1).otherwise(0)
+    token = F.coalesce("token", F.lit(0)).alias("token")
+    top = F.max(F.struct(token, rank.alias("rank"), F.coalesce("expires_ms", F.lit(0)).alias("expires_ms")))
+    versioned = F.struct(token, "version")
     state = F.element_at(F.array(F.lit(PENDING), F.lit(LEASED), F.lit(DONE)), F.col("top.rank") + 1)
-    return events.where(F.col("unit").isNotNull()).groupBy("unit").agg(top.alias("top")).select("unit", state.alias("state"), "top.token", "top.expires_ms")
+    whole = events.where(F.col("unit").isNotNull()).groupBy("unit").agg(
+        top.alias("top"), F.max(F.when(done, F.col("upto"))).alias("upto"), F.max(F.when(done & F.col("version").isNotNull(), versioned)).alias("had"),
+        F.max(F.when((F.col("state") == PENDING) & F.col("version").isNotNull(), versioned)).alias("want"), F.max(F.when(done, F.col("token"))).alias("done_token"),
+    )
+    return whole.select("unit", state.alias("state"), "top.token", "top.expires_ms", "upto", F.col("had.version").alias("done_version"), F.col("want.version").alias("wanted_version"), "done_token")
 
 
 def claimable(events: DataFrame, now_ms: int) -> DataFrame:
-    """Units that a worker may take: pending ones, and leased ones whose lease ended before ``now_ms`` (they return to pending)."""
-    return fold(events).where((F.col("state") == PENDING) | ((F.col("state") == LEASED) & (F.col("expires_ms") < now_ms)))
+    """Units that a worker may take: pending ones, leased ones whose lease ended before ``now_ms`` (they return to pending), and done ones
+    that are wanted in another version than the one that is done."""
+    stale = F.col("wanted_version").isNotNull() & ~F.col("wanted_version").eqNullSafe(F.col("done_version"))
+    unversioned = F.col("wanted_version").isNull()
+    idle = (F.col("state") != LEASED) | (F.col("expires_ms") < now_ms)
+    return fold(events).where(idle & (stale | (unversioned & (F.col("state") != DONE))))
 
 
 class WorkLedger:
     """The ledger as an append-only Parquet log in a shared folder.
 
-    Units are names of bounded slices of the input, say a file or a range of a journal. Output of a unit goes to a path made of
-    its name alone, written with overwrite: a retry, or a worker that was thought dead, replaces the same rows instead of adding
-    them again. ``commit`` takes only the token of the newest lease (fencing). All transitions are made by one coordinator.
+    Units are names of bounded slices of the input, of sequences that are done up to a number, or of things that are done in a version.
+    A lease is taken by creating a file named by unit and token, which only one coordinator can; the token is the fence. Output of a unit
+    goes to a path made of its name and the token, written with overwrite: a retry of the same lease replaces the same rows, and a
+    worker that was thought dead writes beside the winner, never over it. ``commit`` takes only the token of the newest lease, and readers
+    see the output that a done event names.
     """
 
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.clock = clock or (lambda: int(time.time() * 1000))
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.folder = Folder(spark, self.root)
+
+    def _log(self) -> str:
+        """The log's present generation; compaction begins another one."""
+        made = sorted(int(n.split("-")[1]) for n in self.folder.names() if n.startswith("generation-"))
+        return f"events-{made[-1] if made else 0}"
 
-    def events(self) -> DataFrame:
-        path = f"{self.root}/events"
-        if not self.fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path)):
+    @staticmethod
+    def _key(unit: str) -> str:
+        return hashlib.sha256(unit.encode()).hexdigest()
+
+    def events(self, unit: str | None = None) -> DataFrame:
+        """The whole log, or the part in which a unit's events are."""
+        log = self._log()
+        if not self.folder.exists(log):
             return self.spark.createDataFrame([], EVENTS)
-        return self.spark.read.schema(EVENTS).parquet(path)
+        if unit is None:
+            return self.spark.read.schema(T.StructType([*EVENTS, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/{log}").select(NAMES)
+        part = f"{log}/bucket={int(self._key(unit)[:2], 16) % BUCKETS}"
+        return self.spark.read.schema(EVENTS).parquet(f"{self.root}/{part}") if self.folder.exists(part) else self.spark.createDataFrame([], EVENTS)
+
+    def append(self, events: DataFrame, log: str | None = None) -> None:
+        bucket = F.conv(F.substring(F.sha2("unit", 256), 1, 2), 16, 10).cast("int") % BUCKETS
+        rows = as_events(events).where(F.col("unit").isNotNull()).withColumn("bucket", bucket).hint("rebalance", "bucket")
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{log or self._log()}")
 
-    def _append(self, events: DataFrame) -> None:
-        events.select([F.col(f.name).cast(f.dataType) for f in EVENTS]).coalesce(1).write.mode("append").parquet(f"{self.root}/events")
+    def _say(self, rows: list[tuple]) -> None:
+        self.append(self.spark.createDataFrame(rows, EVENTS).coalesce(1))
 
     def enqueue(self, units: DataFrame) -> None:
-        """Adds units (column ``unit``) that the ledger doesn't know; known ones keep their state."""
-        new = units.select("unit").where(F.col("unit").isNotNull()).distinct().join(self.events().select("unit").distinct(), "unit", "left_anti")
-        self._append(new.select("unit", F.lit(PENDING).alias("state"), F.lit(0).alias("token"), F.lit(0).alias("expires_ms")))
+        """Adds units (column ``unit``, and ``version`` where a new version makes a unit pending again) that the ledger doesn't know yet."""
+        has = "version" in units.columns
+        new = as_events(units.withColumn("state", F.lit(PENDING)).withColumn("token", F.coalesce("token", F.lit(0)) if "token" in units.columns else F.lit(0))).where(F.col("unit").isNotNull()).distinct()
+        if has:
+            self.append(new)
+        else:
+            self.append(new.join(self.events().select("unit").distinct(), "unit", "left_anti"))
+
+    def claimable(self, now_ms: int | None = None) -> DataFrame:
+        return claimable(self.events(), self.clock() if now_ms is None else now_ms)
 
     def lease(self, ttl_ms: int, most: int) -> list[tuple[str, int]]:
-        """Takes up to ``most`` claimable units, least name first; returns (unit, fencing token)."""
-        now = self.clock()
-        taken = [(r.unit, r.token + 1) for r in claimable(self.events(), now).orderBy("unit").limit(most).collect()]
+        """Takes up to ``most`` claimable units, least name first; returns (unit, fencing token). Another coordinator's claims are left to it.
+
+        A claim whose coordinator died before it wrote its event counts as taken for the lease's time and is then passed over.
+        """
+        now, taken = self.clock(), []
+        for r in self.claimable(now).orderBy("unit").limit(most).collect():
+            token = r.token + 1
+            while not self.folder.claim(claim := f"claims/{self._key(r.unit)}/{token}"):
+                if self.folder.age_ms(claim, int(time.time() * 1000)) <= ttl_ms:
+                    token = None
+                    break
+                token += 1
+            if token is not None:
+                taken.append((r.unit, token))
         if taken:
-            self._append(self.spark.createDataFrame([(u, LEASED, t, now + ttl_ms) for u, t in taken], EVENTS))
+            self._say([(u, LEASED, t, now + ttl_ms, None, None) for u, t in taken])
         return taken
 
-    def commit(self, unit: str, token: int) -> bool:
+    def commit(self, unit: str, token: int, upto: int | None = None, version: list[int] | None = None) -> bool:
         """Marks a unit done if ``token`` is still the newest one; a stale token is rejected and changes nothing."""
-        now = fold(self.events().where(F.col("unit") == unit)).collect()
+        now = fold(self.events(unit).where(F.col("unit") == unit)).collect()
         if not now or now[0].state == PENDING or now[0].token != token:
             return False
-        self._append(self.spark.createDataFrame([(unit, DONE, token, 0)], EVENTS))
+        self._say([(unit, DONE, token, 0, upto, version if version is not None else now[0].wanted_version)])
         return True
 
-    def output(self, unit: str) -> str:
-        return f"{self.root}/output/{unit.encode().hex()}"
+    def output(self, unit: str, token: int = 0) -> str:
+        return f"{self.root}/output/{self._key(unit)}/{token}"
 
-    def process(self, unit: str, token: int, rows: DataFrame) -> bool:
-        """Writes a unit's rows to its path, then commits; a failure in between leaves the lease to expire."""
-        rows.write.mode("overwrite").parquet(self.output(unit))
-        return self.commit(unit, token)
+    def process(self, unit: str, token: int, rows: DataFrame, upto: int | None = None) -> bool:
+        """Writes a unit's rows to its lease's path, then commits; a failure in between leaves the lease to expire."""
+        rows.write.mode("overwrite").parquet(self.output(unit, token))
+        return self.commit(unit, token, upto)
 
     def results(self) -> DataFrame | None:
-        """The rows of all done units; outputs of units that were never committed stay out."""
-        done = [r.unit for r in fold(self.events()).where(F.col("state") == DONE).toLocalIterator()]
-        return self.spark.read.parquet(*[self.output(u) for u in done]) if done else None
+        """The rows of all done units, None if there is none; outputs of leases that were never committed stay out. Which ones count is a join."""
+        if not self.folder.exists("output"):
+            return None
+        finished = fold(self.events()).where(F.col("done_token").isNotNull())
+        if finished.isEmpty():
+            return None
+        done = finished.select(F.concat_ws("/", F.sha2("unit", 256), F.col("done_token").cast("string")).alias("_from"))
+        rows = self.spark.read.parquet(f"{self.root}/output/*/*")
+        names = rows.columns
+        placed = rows.withColumn("_from", F.regexp_extract("_metadata.file_path", r"/output/([0-9a-f]{64}/\d+)/", 1))
+        return placed.join(done, "_from", "left_semi").select(names)
+
+    def compact(self) -> None:
+        """Folds the log into a new generation: at most three events a unit. For the coordinator, between runs."""
+        log = self._log()
+        event = lambda state, token, expires, upto, version: F.struct(F.col("unit").alias("unit"), state.alias("state"), token.alias("token"), expires.alias("expires_ms"), upto.alias("upto"), version.alias("version"))
+        none, zero = F.lit(None), F.lit(0).cast("long")
+        now = event(F.col("state"), F.col("token"), F.col("expires_ms"), none.cast("long"), none.cast("array<long>"))
+        had = F.when(F.col("done_token").isNotNull(), event(F.lit(DONE), F.col("done_token"), zero, F.col("upto"), F.col("done_version")))
+        want = F.when(F.col("wanted_version").isNotNull(), event(F.lit(PENDING), zero, zero, none.cast("long"), F.col("wanted_version")))
+        rows = fold(self.events()).select(F.explode(F.array_compact(F.array(now, had, want))).alias("x")).select("x.*")
+        n = int(log.split("-")[1]) + 1
+        self.folder.delete(f"events-{n}")
+        self.append(rows, f"events-{n}")
+        self.folder.claim(f"generation-{n}")
+        self.folder.delete(log)
+
+
+def stream_unit() -> Column:
+    """The unit of a journal: its volume and number. Null volumes and journals are no unit."""
+    return F.concat_ws("|", F.lit("journal"), F.col("volume"), F.col("journal_id").cast("string"))
 
 
 def cursor_events(cursors: DataFrame) -> DataFrame:
-    """Run records of a journal cursor as ledger events of the unit (volume, journal_id).
+    """Run records of a journal cursor as ledger events of the journal's unit; the run's id is its fencing token.
 
-    A committed run is done up to its ``next_usn``; any other run held a lease that it never turned into a commit, and what it
-    read returns to pending. The run's id is its fencing token. Null volumes, journals and cursors are kept as they are.
+    A committed run is done up to its ``next_usn``. A run that never ended holds a lease of LEASE_MS from its start. A failed or aborted run
+    has given its lease back, so what it read is pending again. Rows without volume or journal name no unit and are dropped.
     """
-    unit = F.to_json(F.struct("volume", F.col("journal_id").cast("string").alias("journal_id")))
-    state = F.when(F.col("run_status") == "committed", DONE).otherwise(LEASED)
-    return cursors.select(unit.alias("unit"), "volume", "journal_id", state.alias("state"), F.col("run_id").alias("token"), F.col("next_usn").alias("upto"))
+    status = F.coalesce("run_status", F.lit(""))
+    state = F.when(status == "committed", DONE).when(status.isin("failed", "aborted"), PENDING).otherwise(LEASED)
+    expires = F.unix_millis(F.col("started_at").cast("timestamp")) + LEASE_MS if "started_at" in cursors.columns else F.lit(0)
+    known = cursors.where(F.col("volume").isNotNull() & F.col("journal_id").isNotNull())
+    return as_events(known.select(stream_unit().alias("unit"), state.alias("state"), F.col("run_id").alias("token"), expires.alias("expires_ms"), F.col("next_usn").alias("upto")))
 
 
-def journal_pending(journal: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Distinct (volume, usn) of journal records that no done unit of the ledger covers.
+def file_events(listing: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The listing and the index as ledger events of units that are paths, in the version (mtime, size).
+
+    A sighting demands its version, what the index stored is done; times of sighting and of indexing are the tokens, so the latest of each
+    counts, of equal times the greatest version. A ``\\\\?\\`` prefix is no part of a path, rows without a path are dropped.
+    """
 
-    A record is covered if a done event of its volume and journal reaches beyond its usn. Records without usn are dropped; a null
-    volume or journal never equals a cursor's, so such records stay pending. The ledger is folded to one row a unit first, and
-    is broadcast only after its size is checked. Redelivered records collapse in a partial aggregate.
+    def events(rows: DataFrame, at: str, state: str) -> DataFrame:
+        token = F.unix_micros(F.col(at).cast("timestamp")) if dict(rows.dtypes)[at].startswith("timestamp") else F.col(at)
+        return as_events(rows.where(F.col("path").isNotNull()).select(F.concat(F.lit("file|"), strip_verbatim(F.col("path"))).alias("unit"), F.lit(state).alias("state"), token.alias("token"), F.array(F.col("mtime"), F.col("size")).alias("version")))
+
+    return events(listing, "seen_at", PENDING).union(events(indexed, "indexed_at", DONE))
+
+
+def journal_items(journal: DataFrame, states: DataFrame, now_ms: int) -> DataFrame:
+    """Distinct (volume, usn) of journal records that aren't done by the folded ``states`` and that no living lease holds.
+
+    A record is done if its journal's unit is done beyond its usn. Records without usn are dropped; one without volume or journal belongs to
+    no unit and stays pending. Folded states are broadcast only after their number is checked. Redelivered records collapse in a partial
+    aggregate.
     """
-    done = cursor_events(cursors).where((F.col("state") == DONE) & F.col("upto").isNotNull())
-    reach = done.groupBy("volume", "journal_id").agg(F.max("upto").alias("_upto"))
-    records = journal.where(F.col("usn").isNotNull()).select("volume", "journal_id", "usn")
-    left = small_join(records, reach.where(F.col("volume").isNotNull() & F.col("journal_id").isNotNull()), ["volume", "journal_id"])
-    return left.where(F.col("_upto").isNull() | (F.col("usn") >= F.col("_upto"))).select("volume", "usn").distinct()
+    held = (F.col("state") == LEASED) & (F.col("expires_ms") >= now_ms)
+    units = states.select("unit", F.col("upto").alias("_upto"), held.alias("_held"))
+    unit = F.when(F.col("volume").isNotNull() & F.col("journal_id").isNotNull(), stream_unit())
+    records = journal.where(F.col("usn").isNotNull()).select(unit.alias("unit"), "volume", "usn")
+    left = small_join(records, units, ["unit"])
+    return left.where((F.col("_upto").isNull() | (F.col("usn") >= F.col("_upto"))) & ~F.coalesce("_held", F.lit(False))).select("volume", "usn").distinct()
+
+
+def listing_items(events: DataFrame, now_ms: int) -> DataFrame:
+    """(path) of the files that the log wants in another version than the one that is done. Files gone from the listing are wanted by nobody."""
+    return claimable(events, now_ms).where(F.col("wanted_version").isNotNull()).select(F.substring("unit", 6, 1 << 30).alias("path"))
+
+
+def journal_pending(journal: DataFrame, cursors: DataFrame) -> DataFrame:
+    """``journal_items`` straight from a table of runs, once all their leases have ended."""
+    return journal_items(journal, fold(cursor_events(cursors)), takeover(cursors))
+
+
+def listing_pending(listing: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``listing_items`` straight from a listing and what the index stored."""
+    return listing_items(file_events(listing, indexed), 0)
+
+
+def takeover(cursors: DataFrame) -> int:
+    """The first moment, in milliseconds, at which no run that the cursor table records can still hold its lease."""
+    if "started_at" not in cursors.columns:
+        return 1
+    last = cursors.agg(F.max(F.unix_millis(F.col("started_at").cast("timestamp")))).first()[0]
+    return (last or 0) + LEASE_MS + 1
+
+
+def history(spark: SparkSession, sf_dir: str) -> tuple[WorkLedger, int]:
+    """The tables' history as a ledger: runs as events of their journals, sightings and stored files as events of their paths."""
+    book = WorkLedger(spark, Scratch(spark, "ledger").root)
+    cursors = table(spark, sf_dir, "usn_cursors")
+    book.append(cursor_events(cursors))
+    book.append(file_events(table(spark, sf_dir, "disk_listing").select("path", "mtime", "size", "seen_at"), table(spark, sf_dir, "indexed_files").select("path", "mtime", "size", "indexed_at")))
+    return book, takeover(cursors)
 
 
 def latest(rows: DataFrame, key: str, at: str, *values: str) -> DataFrame:
@@ -130,28 +272,38 @@ def latest(rows: DataFrame, key: str, at: str, *values: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(top).select(key, *[F.col(f"_top.{v}").alias(v) for v in values])
 
 
-def listing_pending(listing: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Paths of the latest listing whose (mtime, size) isn't what the index last stored; compared null-safely.
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All work items that a run beginning after all recorded ones has to take: (change_source, volume, item).
 
-    A ``\\\\?\\`` prefix is no part of a path. Rows without a path are dropped. Files gone from the listing are no work items.
+    The history goes into a ledger; what its fold leaves pending, or returns to pending as its lease has expired, is found.
     """
-    now = latest(listing.select(strip_verbatim(F.col("path")).alias("path"), "mtime", "size", "seen_at"), "path", "seen_at", "mtime", "size")
-    stored = latest(indexed.select(strip_verbatim(F.col("path")).alias("path"), "mtime", "size", "indexed_at"), "path", "indexed_at", "mtime", "size")
-    stored = stored.select("path", F.struct("mtime", "size").alias("_done"))
-    both = now.join(stored, "path", "left")
-    same = F.col("_done").isNotNull() & F.col("mtime").eqNullSafe(F.col("_done.mtime")) & F.col("size").eqNullSafe(F.col("_done.size"))
-    return both.where(~same).select("path")
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All work items that are not done: (change_source, volume, item)."""
-    journal = journal_pending(table(spark, sf_dir, "usn_journal"), table(spark, sf_dir, "usn_cursors"))
-    files = listing_pending(table(spark, sf_dir, "disk_listing"), table(spark, sf_dir, "indexed_files"))
+    book, now = history(spark, sf_dir)
+    is_journal = F.col("unit").startswith("journal|")
+    states = fold(book.events().where(is_journal))
+    journal = journal_items(table(spark, sf_dir, "usn_journal"), states, now)
+    files = listing_items(book.events().where(~is_journal), now)
     return journal.select(F.lit("journal").alias("change_source"), "volume", F.col("usn").cast("string").alias("item")).union(
         files.select(F.lit("listing"), F.substring("path", 1, 2), "path")
     )
 
 
+def p1_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(volume, journal_id, state, token, upto, expired): where the ledger stands with each journal."""
+    states = fold(cursor_events(table(spark, sf_dir, "usn_cursors")))
+    parts = F.split("unit", r"\|")
+    expired = (F.col("state") == LEASED) & (F.col("expires_ms") < takeover(table(spark, sf_dir, "usn_cursors")))
+    return states.select(parts[1].alias("volume"), parts[2].cast("long").alias("journal_id"), "state", "token", "upto", expired.alias("expired"))
+
+
+P1_LEDGER_SQL = """
+WITH c AS (SELECT DISTINCT * FROM usn_cursors WHERE volume IS NOT NULL AND journal_id IS NOT NULL),
+top AS (SELECT volume, journal_id, run_id, run_status FROM c QUALIFY row_number() OVER (PARTITION BY volume, journal_id ORDER BY run_id DESC, CASE run_status WHEN 'committed' THEN 2 WHEN 'running' THEN 1 ELSE 0 END DESC) = 1)
+SELECT t.volume, t.journal_id, CASE t.run_status WHEN 'committed' THEN 'done' WHEN 'running' THEN 'leased' ELSE 'pending' END AS state, t.run_id AS token,
+  (SELECT max(next_usn) FROM c WHERE c.volume = t.volume AND c.journal_id = t.journal_id AND c.run_status = 'committed') AS upto, t.run_status = 'running' AS expired
+FROM top t
+"""
+
+
 P1_SQL = r"""
 WITH d AS (
   SELECT CASE WHEN starts_with(path, '\\?\') THEN substr(path, 5) ELSE path END AS path, mtime, size, seen_at FROM disk_listing

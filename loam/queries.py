@@ -405,7 +405,9 @@ def cursor_validity(spark: SparkSession, d: str) -> DataFrame:
 
 REGISTRY |= {
     "p1_found": (ledger.p1_found, ledger.P1_SQL),
+    "p1_ledger": (ledger.p1_ledger, ledger.P1_LEDGER_SQL),
     "p4_found": (replay.p4_found, replay.P4_SQL),
+    "p4_open": (replay.p4_open, replay.P4_OPEN_SQL),
     "p4_watermarks": (replay.p4_watermarks, replay.P4_WATERMARKS_SQL),
     "p7_found": (hierarchy.p7_found, hierarchy.P7_SQL),
     "p7_descendants": (hierarchy.p7_descendants, hierarchy.P7_DESCENDANTS_SQL),

@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where it is unset (tests), a local temporary folder."""
+    """The folder that all executors share, which the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a local session (tests) takes a temporary folder of this machine; on a cluster that would lose data, so it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/loam-shared-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -55,6 +60,19 @@ class Scratch:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out over all cores if it has fewer splits than there are cores, so that work on its rows isn't left to a few.
+
+    A table with fewer files and row groups than cores can't be split by the scan. Larger tables are left as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def within(self, df: DataFrame, most: int) -> bool:
+        """``within`` of a frame that this scratch wrote, by the row counts in its files' footers: no row is read."""
+        return df.count() <= most
+
 
 def spread(scan: DataFrame) -> DataFrame:
     """A plain scan, dealt out over all cores if it has fewer partitions than there are cores, so that work on its rows isn't left to a few.
@@ -70,17 +88,27 @@ def within(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS, null_safe: bool = False) -> DataFrame:
     """Equi-join (left or inner) of a skewed frame with one that is unique by ``on`` and usually small.
 
     The small side is broadcast only when its row count is checked to be within ``most``. Beyond it the big side is salted and
-    the small one replicated per salt, so that a key that holds a third of the rows is spread over SALTS tasks.
+    the small one replicated per salt, so that a key that holds a third of the rows is spread over SALTS tasks. With ``null_safe`` a null
+    key equals a null key.
     """
+    keys = list(on)
     if within(small, most):
-        return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+        small = F.broadcast(small)
+    else:
+        keys.append("_salt")
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int"))
+        small = small.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+    if not null_safe:
+        return big.join(small, keys, how).drop("_salt")
+    renamed = small.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return big.join(renamed, same, how).drop("_salt", *[f"_r_{k}" for k in keys])
 
 
 def ship(spark: SparkSession) -> None:
