@@ -7,7 +7,6 @@ from pyspark.sql import SparkSession
 from loam.functions.paths import ext_group
 from loam.functions.snippet import wrap
 from loam.manage import Index
-from loam.plans import search as S
 from loam.plans.qlang import QueryError
 from loam.sources.store import StoreError
 
@@ -37,11 +36,11 @@ class Tools:
             raise ArgumentError(f"sort must be one of {', '.join(TOOL_SORTS)}")
         exts = ext_group(ext) or tuple(clean_exts(ext)) if isinstance(ext, str) else tuple(clean_exts(",".join(ext or [])))
         try:
-            files = self.index.store.files()
+            reader = self.index.store.searcher()
         except StoreError as e:
             return failure("index_unavailable", str(e))
         try:
-            page = S.page(files, query, limit, offset, exts or None, sort)
+            page = reader.page(query, limit, offset, exts or None, sort)
         except QueryError as e:
             raise ArgumentError(str(e)) from e
         hits = []
@@ -50,11 +49,11 @@ class Tools:
             if sort == "relevance":
                 hit["score"] = r.score
             hits.append(hit)
-        return {"hits": hits, "total_hits": page.total, "total_docs": files.count()}
+        return {"hits": hits, "total_hits": page.total, "total_docs": reader.num_docs()}
 
     def preview(self, path: str, query: str = "") -> dict:
         try:
-            row = S.preview(self.index.store.files(), path, query).first()
+            row = self.index.store.searcher().preview(path, query).first()
         except StoreError as e:
             return failure("index_unavailable", str(e))
         if row is None:

@@ -55,13 +55,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(f"unknown sort {sort!r}, using relevance", file=sys.stderr)
                 sort = "relevance"
             exts = ext_group(args.ext) or tuple(clean_exts(args.ext))
-            page = S.page(index.store.files(), args.query, args.limit, args.offset, exts or None, sort)
+            page = index.store.searcher().page(args.query, args.limit, args.offset, exts or None, sort)
             for r in page.hits.collect():  # a page's rows
                 print(r.path if sort != "relevance" else f"{r.score:.4f}  {r.path}")
                 print("    " + wrap(r.snippet, [(x.start, x.end) for x in r.highlighted], "\033[1m", "\033[0m").replace("\n", " "))
             print(f"{page.total} hits")
         elif args.command == "preview":
-            row = S.preview(index.store.files(), args.path, args.query).first()
+            row = index.store.searcher().preview(args.path, args.query).first()
             if row is None:
                 print("not in the index", file=sys.stderr)
                 return 1

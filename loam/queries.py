@@ -12,9 +12,10 @@ from loam.functions import text as X
 from loam.operators import changes as C
 from loam.operators import hierarchy, journal, ledger, replay
 from loam.operators.ledger import latest
-from loam.plans import postings
+from loam.plans import postings, segment
 from loam.plans import search as S
-from loam.session import table
+from loam.plans.searcher import Searcher
+from loam.session import Scratch, table
 from loam.sources.extract import extractable
 from loam.sources.store import RULES
 
@@ -42,11 +43,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def index_of(spark: SparkSession, d: str) -> Searcher:
+    """The index of the documents table, built once a session below the shared folder."""
+    made = spark.sparkContext.__dict__.setdefault("_loam_indexes", {})
+    if d not in made:
+        made[d] = Searcher(spark, [segment.build(S.documents_as_files(spark, d, apart=True), f"{Scratch(spark, 'index').root}/documents")])
+    return made[d]
+
+
+def rows_of(spark: SparkSession, rows: list[dict], schema: str, **more) -> DataFrame:
+    """A page's rows as a frame."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple((r | more)[n] for n in names) for r in rows], schema)
+
+
 def search_query(name: str, text: str, condition: str, exts: tuple[str, ...] | None = None) -> None:
     """A query of the query language; ``condition`` is what it means in SQL over ``hay``."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return S.where(S.documents_as_files(spark, d), text, exts).select("doc_id", "path")
+        return index_of(spark, d).hits(text, exts, ("doc_id", "path"))
 
     REGISTRY[name] = (run, f"WITH {TOKENS} SELECT doc_id, path FROM hay WHERE {condition}")
 
@@ -108,47 +123,45 @@ def _bm25_sql(terms: list[str], fields: list[tuple[str, str]], condition: str, l
 
 @query("bm25_topk", _bm25_sql(["recipe", "garden"], [("content", "t")], "contains(c, ' recipe ') AND contains(c, ' garden ')"))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    files = S.documents_as_files(spark, d, apart=True)
-    hits = S.ranked(files, "content:recipe content:garden recipe garden", fields=("content",))  # both in the content, ranked by it
-    return hits.select("doc_id", "path", "score").orderBy(*S.ordering("relevance")).limit(20).select("doc_id", "score")
+    # both in the content, ranked by it
+    rows, _ = index_of(spark, d).top("content:recipe content:garden recipe garden", 20, columns=("doc_id",), fields=("content",))
+    return rows_of(spark, rows, "doc_id long, score double")
 
 
 @query("bm25_two_field", _bm25_sql(["recipe", "md"], [("name", "tn"), ("content", "t")], f"{has('recipe')} AND {has('md')}"))
 def bm25_two_field(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.ranked(S.documents_as_files(spark, d, apart=True), "recipe md")
-    return hits.select("doc_id", "path", "score").orderBy(*S.ordering("relevance")).limit(20).select("doc_id", "score")
+    return rows_of(spark, index_of(spark, d).top("recipe md", 20, columns=("doc_id",))[0], "doc_id long, score double")
 
 
 for _s, _o in (("mtime", "mtime DESC"), ("mtime_asc", "mtime"), ("size", "size DESC")):
 
     def _sorted(spark: SparkSession, d: str, s: str = _s) -> DataFrame:
-        hits = S.where(S.documents_as_files(spark, d), "recipe").select("doc_id", "path", "mtime", "size")
-        return hits.orderBy(*S.ordering(s)).limit(25)
+        rows, _ = index_of(spark, d).top("recipe", 25, sort=s, columns=("doc_id", "path", "mtime", "size"))
+        return rows_of(spark, rows, "doc_id long, path string, mtime long, size long")
 
     REGISTRY[f"sort_{_s}"] = (_sorted, f"WITH {TOKENS} SELECT doc_id, path, mtime, size FROM hay WHERE {has('recipe')} ORDER BY {_o}, path LIMIT 25")
 
 
 @query("page_with_total", f"WITH {TOKENS} SELECT doc_id, path, count(*) OVER () AS total FROM hay WHERE {has('recipe')} ORDER BY size DESC, path LIMIT 5 OFFSET 5")
 def page_with_total(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.where(S.documents_as_files(spark, d), "recipe").select("doc_id", "path", "size")
-    total = hits.count()
-    return hits.orderBy(*S.ordering("size")).offset(5).limit(5).select("doc_id", "path", F.lit(total).cast("long").alias("total"))
+    rows, total = index_of(spark, d).top("recipe", 5, 5, sort="size", columns=("doc_id", "path"))
+    return rows_of(spark, rows, "doc_id long, path string, total long", total=total)
 
 
 @query("search_page")
 def search_page(spark: SparkSession, d: str) -> DataFrame:
-    return S.page(S.documents_as_files(spark, d), 'recipe "garden plan" OR wiring', 10, 0).hits
+    return index_of(spark, d).page('recipe "garden plan" OR wiring', 10, 0).hits
 
 
 @query("preview_page")
 def preview_page(spark: SparkSession, d: str) -> DataFrame:
-    files = S.documents_as_files(spark, d)
-    return S.preview(files, files.where("content <> '' AND path <> ''").agg(F.min("path")).first()[0] or "", "the")
+    first = S.documents_as_files(spark, d).where("content <> '' AND path <> ''").agg(F.min("path")).first()[0] or ""
+    return index_of(spark, d).preview(first, "the")
 
 
 @query("num_docs", "SELECT count(*) AS docs FROM documents")
 def num_docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("docs"))
+    return rows_of(spark, [{"docs": index_of(spark, d).num_docs()}], "docs long")
 
 
 @query(
@@ -156,7 +169,7 @@ def num_docs(spark: SparkSession, d: str) -> DataFrame:
     "SELECT r.root, count(d.path) AS files FROM (VALUES ('/notes'), ('/inbox/shared'), ('/note')) r(root) LEFT JOIN documents d ON d.path = r.root OR starts_with(d.path, r.root || '/') GROUP BY r.root",
 )
 def count_under_root(spark: SparkSession, d: str) -> DataFrame:
-    return S.count_under(S.documents_as_files(spark, d), ["/notes", "/inbox/shared", "/note"])
+    return S.count_under(index_of(spark, d).files(), ["/notes", "/inbox/shared", "/note"])
 
 
 @query("term_df", f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM hay) GROUP BY term")

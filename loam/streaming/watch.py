@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from loam.folder import Folder
 from loam.operators.changes import coalesce, split_renames
 from loam.sources.store import Store
 
@@ -25,16 +27,19 @@ def sessions(stream: DataFrame, quiet: str = "500 milliseconds", late: str = "1
     return timed.groupBy(F.session_window("ts", quiet).alias("window"), key).agg(F.count(F.lit(1)).alias("changes"), F.max_by("op", "seq").alias("last_op"))
 
 
-def keep_current(stream: DataFrame, store: Store, rows_of: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def keep_current(stream: DataFrame, store: Store, rows_of: Callable[[DataFrame], DataFrame], checkpoint: str, scope: Column | None = None) -> StreamingQuery:
     """Applies each micro-batch to the store as one new version, and ends when the stream's present input is done.
 
-    A batch that is run again after a failure finds its own version and changes nothing, as versions carry the batch's number.
-    ``rows_of`` gives the index rows that (path, op) ask for: of an ``upsert`` the path's, of an ``upsert_tree`` those of all files below the path.
-    Over a listing that is ``changes.rows_for``.
+    A batch that is run again after a failure finds its own number under the stream's name and changes nothing. The name is the one that the
+    checkpoint keeps, so another stream, or a new checkpoint, counts from the beginning. ``rows_of`` gives the index rows that (path, op)
+    ask for: of an ``upsert`` the path's, of an ``upsert_tree`` those of all files below the path. Over a listing that is
+    ``changes.rows_for``. ``scope`` is a predicate over ``path`` that changes must meet.
     """
+    folder = Folder(store.spark, checkpoint)
 
     def one(batch: DataFrame, number: int) -> None:
-        changes = coalesce(split_renames(batch))
-        store.apply(changes, rows_of(changes.where(F.col("op").isin("upsert", "upsert_tree"))), tag=f"batch-{number}")
+        name = json.loads(folder.read("metadata").decode())["id"]
+        changes = coalesce(split_renames(batch, scope))
+        store.apply(changes, rows_of(changes.where(F.col("op").isin("upsert", "upsert_tree"))), tag=(name, number))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
