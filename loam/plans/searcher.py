@@ -1,13 +1,14 @@
 """Searching an index: a parsed query is answered from the postings of its terms, part by part, without reading a text.
 
-The driver looks the terms up in the lexicon, which gives the weights and tells when nothing can match. One job reads the terms' postings,
-gathers them by part and evaluates each part in arrays: sets for the conditions, positions for phrases, BM25 for the order. Of a part only the
-best rows leave, with the number of its hits. Texts are read for the rows of one page.
+The driver looks the terms up in the lexicon, which gives the weights and tells which shards can match, if any. One job of one stage reads the
+terms' postings in those and evaluates each part in arrays: sets for the conditions, positions for phrases, BM25 for the order. Of a part only
+the best rows leave, with the number of its hits. Texts are read for the rows of one page.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,10 +22,9 @@ from loam.functions.text import query_terms
 from loam.plans import segment as G
 from loam.plans.qlang import Clause, Field, Group, Path, Query, QueryError, Range, Word
 from loam.plans.search import K1, SORTS, B, Page, Stats, prepared
+from loam.session import BROADCAST_ROWS, within
 
-#: Rows beyond a page that are looked at for ties; only if all of them tie is the whole result ordered by path.
-SPARE = 64
-FOUND = "seg int, doc long, score double, key long, hits long"
+FOUND = "seg int, doc long, path string, score double, key long, hits long"
 
 
 def text_clause(c: Clause) -> tuple[list[list[str]], tuple[str, ...]] | None:
@@ -46,19 +46,20 @@ def all_terms(query: Query) -> list[str]:
     return list(dict.fromkeys(t for f in found if f for phrase in f[0] for t in phrase))
 
 
-def possible(group: Group, df: dict[tuple[str, str], int]) -> bool:
-    """Whether a group can match anything in a segment with these document frequencies."""
+def shards_of(group: Group, known: dict[tuple[str, str], tuple[int, int]]) -> int:
+    """The bits of the groups of shards in which a group of conditions can match, by what the lexicon knows of its terms."""
+    mask = (1 << G.GROUPS) - 1
     for c in group.must:
         if (f := text_clause(c)) is not None:
             for phrase in f[0]:
-                if not phrase or not any(all((name, t) in df for t in phrase) for name in f[1]):
-                    return False
-    return True
-
-
-def anchored(group: Group) -> bool:
-    """Whether a group needs a term, so that parts without one of the query's terms have no hit."""
-    return any(text_clause(c) is not None for c in group.must)
+                either = 0
+                for name in f[1]:
+                    every = mask if phrase else 0
+                    for t in phrase:
+                        every &= known.get((name, t), (0, 0))[1]
+                    either |= every
+                mask &= either
+    return mask
 
 
 @dataclass
@@ -172,37 +173,44 @@ def evaluate(part: Part, plan: Plan, gone: np.ndarray) -> tuple[np.ndarray, np.n
     return at, scores[at], keys[at], total
 
 
-def _numbers(lists: pa.Array, at: int, kind: str = "int64") -> np.ndarray:
-    return lists[at].values.to_numpy(zero_copy_only=False).astype(kind)
+def _numbers(lists: pa.Array, at: int) -> np.ndarray:
+    return lists[at].values.to_numpy(zero_copy_only=False)
 
 
-def runner(plan: Plan, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Evaluates rows (seg, ids, rows, gone and the facts), one a part."""
+def runner(plan: Plan, columns: list[str], deletions: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Evaluates the rows (term, field, part, seg, docs, tfs, positions, ids, paths, the facts and, with deletions, ``gone``) of a task's shards by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        postings: dict = defaultdict(dict)
+        parts: dict = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                ids = _numbers(batch.column("ids"), i)
-                facts = {c: (np.array(batch.column(c)[i].as_py(), object) if c in ("exts", "kinds") else _numbers(batch.column(c), i)) for c in columns}
-                rows, postings = batch.column("rows")[i], {}
-                for r in rows.values if rows.is_valid else ():
-                    docs = np.cumsum(r["docs"].values.to_numpy(zero_copy_only=False))
-                    postings[r["field"].as_py(), r["term"].as_py()] = (docs, r["tfs"].values.to_numpy(zero_copy_only=False), r["positions"].values.to_numpy(zero_copy_only=False))
-                gone = batch.column("gone")[i]
-                lost = np.flatnonzero(np.isin(ids, gone.values.to_numpy(zero_copy_only=False))) if gone.is_valid else np.empty(0, "int64")
-                at, scores, keys, total = evaluate(Part(len(ids), facts, postings), plan, lost)
-                if not total:
-                    continue
-                if not len(at):  # only the number is wanted
-                    at, scores, keys, where = np.zeros(1, "int64"), np.zeros(1), np.zeros(1, "int64"), np.array([-1])
+            names = {n: batch.column(n) for n in batch.schema.names}
+            keys = zip(names["seg"].to_pylist(), names["part"].to_pylist(), names["field"].to_pylist(), names["term"].to_pylist())
+            for i, (seg, part, f, t) in enumerate(keys):
+                if t:
+                    postings[seg, part][f, t] = np.cumsum(_numbers(names["docs"], i)), _numbers(names["tfs"], i), _numbers(names["positions"], i)
                 else:
-                    where = ids[at]
-                seg = batch.column("seg")[i].as_py()
-                for column, values in zip(out, (np.full(len(where), seg), where, scores, keys, np.concatenate([[total], np.zeros(len(where) - 1, "int64")]))):
-                    column.append(values)
-            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds)], names=["seg", "doc", "score", "key", "hits"])
+                    facts = {c: (np.array(names[c][i].as_py(), object) if c in ("exts", "kinds") else _numbers(names[c], i)) for c in columns}
+                    gone = _numbers(names["gone"], i) if deletions and names["gone"][i].is_valid else None
+                    parts[seg, part] = _numbers(names["ids"], i), names["paths"][i].values, facts, gone
+        out: list[list] = [[], [], [], [], []]
+        shown = []
+        for (seg, part), (ids, paths, facts, gone) in parts.items():
+            lost = np.flatnonzero(np.isin(ids, gone)) if gone is not None else np.empty(0, "int64")
+            at, scores, keys, total = evaluate(Part(len(ids), facts, postings.get((seg, part), {})), plan, lost)
+            if not total:
+                continue
+            if not len(at):  # only the number is wanted
+                scores, keys, where = np.zeros(1), np.zeros(1, "int64"), np.array([-1])
+                shown.append(pa.nulls(1, pa.string()))
+            else:
+                where = ids[at]
+                shown.append(paths.take(pa.array(at)))
+            for column, values in zip(out, (np.full(len(where), seg), where, scores, keys, np.concatenate([[total], np.zeros(len(where) - 1, "int64")]))):
+                column.append(values)
+        kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        seg, doc, score, key, hits = [pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds)]
+        yield pa.RecordBatch.from_arrays([seg, doc, pa.concat_arrays(shown) if shown else pa.array([], pa.string()), score, key, hits], names=["seg", "doc", "path", "score", "key", "hits"])
 
     return run
 
@@ -214,7 +222,8 @@ class Searcher:
     def __init__(self, spark: SparkSession, segments: list[G.Segment], deleted: DataFrame | None = None, lost: dict[str, int] | None = None):
         self.spark, self.segments, self.deleted = spark, segments, deleted
         self.lost = {"n": 0, "name": 0, "content": 0} | (lost or {})
-        self.lexicons = [G.Lexicon(spark, s) for s in segments]
+        self.readers = [G.Reader(spark, s) for s in segments]
+        self.lexicons = [G.Lexicon(r) for r in self.readers]
 
     def num_docs(self) -> int:
         return sum(s.n for s in self.segments) - self.lost["n"]
@@ -222,8 +231,8 @@ class Searcher:
     def files(self) -> DataFrame:
         """All files, with ``seg`` and ``doc``."""
         out = None
-        for k, s in enumerate(self.segments):
-            part = G.read_files(self.spark, s).withColumn("seg", F.lit(k))
+        for k, reader in enumerate(self.readers):
+            part = reader.files().withColumn("seg", F.lit(k))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         if self.deleted is not None:
             out = out.join(self.deleted.select("seg", "doc"), ["seg", "doc"], "left_anti")
@@ -235,50 +244,52 @@ class Searcher:
         mean = {f: (sum(getattr(s, f) for s in self.segments) - self.lost[f]) / n if n else 0.0 for f in fields}
         df: dict[tuple[str, str], int] = {}
         for lexicon in self.lexicons:
-            for key, count in lexicon.df(terms).items():
+            for key, (count, _) in lexicon.look_up(terms).items():
                 df[key] = df.get(key, 0) + count
         if self.deleted is not None and terms:
             for r in self._deleted_df(terms):
                 df[r.field, r.term] = df[r.field, r.term] - r.n
         return Stats(n, mean, {k: c for k, c in df.items() if k[0] in fields})
 
+    def _gone(self, k: int) -> DataFrame:
+        """(part, gone): the deleted files of one segment by part, at most a part's files each."""
+        return self.deleted.where(F.col("seg") == k).groupBy("part").agg(F.collect_set("doc").alias("gone"))
+
     def _deleted_df(self, terms: list[str]):
         """(field, term, n): in how many deleted files the terms stand; a row a field and term of the query."""
         out = None
-        for k, s in enumerate(self.segments):
-            gone = self.deleted.where(F.col("seg") == k).groupBy("part").agg(F.collect_set("doc").alias("gone"))
-            ids = G.read_parts(self.spark, s).select("part", "ids")
-            spots = F.transform(F.col("docs"), lambda x: x)  # gaps; summed up below
-            rows = G.read_postings(self.spark, s, terms).select("term", "field", "part", spots.alias("docs")).join(gone, "part").join(ids, "part")
-            places = F.aggregate("docs", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, g: F.struct((a["at"] + g).alias("at"), F.array_append(a["all"], a["at"] + g).alias("all")), lambda a: a["all"])
+        for k, reader in enumerate(self.readers):
+            gone = self._gone(k)
+            ids = reader.parts().select("part", "ids")
+            rows = reader.postings().where(F.col("term").isin(*terms)).select("term", "field", "part", "docs").join(gone, "part").join(ids, "part")
+            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+            places = F.aggregate("docs", start, lambda a, g: F.struct((a["at"] + g).alias("at"), F.array_append(a["all"], a["at"] + g).alias("all")), lambda a: a["all"])
             n = F.size(F.filter(places, lambda p: F.array_contains(F.col("gone"), F.get(F.col("ids"), p))))
             part = rows.select("term", "field", n.alias("n"))
             out = part if out is None else out.union(part)
         return out.groupBy("field", "term").agg(F.sum("n").alias("n")).collect()
 
     def found(self, plan: Plan) -> DataFrame | None:
-        """(seg, doc, score, key, hits) of the best files of each part, ``hits`` being the part's number on its first row; None if nothing can match."""
+        """(seg, doc, path, score, key, hits) of the best files of each part, ``hits`` being the part's number on its first row; None if nothing can match."""
         terms, columns = all_terms(plan.query), plan.columns()
+        wanted = F.col("term").isin("", *terms)
+        names = ["part", "term", "field", "docs", "positions", "ids", "paths", *dict.fromkeys(["tfs", *columns])]
         out = None
-        for k, (s, lexicon) in enumerate(zip(self.segments, self.lexicons)):
-            df = lexicon.df(terms)
-            groups = [g for g in plan.query.groups if possible(g, df)]
-            if not groups or not s.n:
+        for k, (s, reader, lexicon) in enumerate(zip(self.segments, self.readers, self.lexicons)):
+            known, mask = lexicon.look_up(terms), 0
+            for g in plan.query.groups:
+                mask |= shards_of(g, known)
+            if not mask or not s.n:
                 continue
-            parts = G.read_parts(self.spark, s).select("part", "ids", *columns)
-            if terms:
-                rows = G.of_parts(G.read_postings(self.spark, s, terms), F.col("part"))
-                parts = rows.join(parts, "part", "inner" if all(map(anchored, groups)) else "right")
-            else:
-                parts = parts.withColumn("rows", F.lit(None).cast("array<struct<term:string,field:string,docs:array<int>,tfs:array<int>,positions:array<int>>>"))
+            rows = reader.postings(mask).where(wanted).select(F.lit(k).alias("seg"), *names)
             if self.deleted is not None:
-                gone = self.deleted.where(F.col("seg") == k).groupBy("part").agg(F.collect_set("doc").alias("gone"))
-                parts = parts.join(gone, "part", "left")
-            else:
-                parts = parts.withColumn("gone", F.lit(None).cast("array<long>"))
-            one = parts.select(F.lit(k).alias("seg"), "ids", "rows", "gone", *columns)
-            out = one if out is None else out.unionAll(one)
-        return None if out is None else out.mapInArrow(runner(plan, columns), FOUND)
+                gone = self._gone(k)
+                if within(gone, BROADCAST_ROWS):
+                    rows = rows.join(F.broadcast(gone), "part", "left")
+                else:  # a part's rows must stay in one task
+                    rows = rows.join(gone, "part", "left").repartition("part")
+            out = rows if out is None else out.unionByName(rows)
+        return None if out is None else out.mapInArrow(runner(plan, columns, self.deleted is not None), FOUND)
 
     def plan(self, text: str | Query, exts: tuple[str, ...] | None, sort: str, top: int | None, fields: tuple[str, ...] = ("name", "content"), ranked: bool = True) -> Plan:
         if sort not in SORTS:
@@ -291,46 +302,35 @@ class Searcher:
     def hits(self, text: str | Query, exts: tuple[str, ...] | None = None, columns: tuple[str, ...] = ("path",), fields: tuple[str, ...] = ("name", "content"), ranked: bool = False) -> DataFrame:
         """All files that a query matches, with the named columns, and ``score`` if ``ranked``."""
         found = self.found(self.plan(text, exts, "relevance", None, fields, ranked))
-        files = self.files().select("seg", "doc", *columns)
+        shown = [*columns, *(["score"] if ranked else [])]
         if found is None:
-            return files.select(*columns, F.lit(0.0).alias("score")).limit(0).select(*columns, *(["score"] if ranked else []))
-        return found.select("seg", "doc", "score").join(files, ["seg", "doc"]).select(*columns, *(["score"] if ranked else []))
+            return self.files().select(*columns, F.lit(0.0).alias("score")).limit(0).select(shown)
+        if set(columns) <= {"path"}:
+            return found.select(shown)
+        return found.select("seg", "doc", "score").join(self.files().select("seg", "doc", *columns), ["seg", "doc"]).select(shown)
 
     def top(self, text: str | Query, limit: int, offset: int = 0, exts: tuple[str, ...] | None = None, sort: str = "relevance", columns: tuple[str, ...] = ("path",), fields: tuple[str, ...] = ("name", "content"), extra: tuple[Column, ...] = ()) -> tuple[list[dict], int]:
         """(rows, total): one page in order, ties by path, with the named columns, ``score`` and ``key``; and the number of all hits, from the same pass.
 
-        The best rows of each part are ordered by their score or key alone; where rows tie beyond the page, the tied ones are fetched with
-        their paths, and where more than SPARE tie, the whole result is ordered.
+        Columns other than ``path`` are read for the page's rows, by a second job.
         """
         offset, limit = max(0, offset), max(0, limit)
-        plan = self.plan(text, exts, sort, offset + limit)
-        plan.fields = fields
+        want = offset + limit
+        plan = self.plan(text, exts, sort, want, fields)
         found = self.found(plan)
         if found is None:
             return [], 0
         seen = Observation()
         by = {"relevance": F.desc("score"), "mtime_asc": F.asc("key")}.get(sort, F.desc("key"))
-        want = offset + limit
-        first = found.observe(seen, F.sum("hits").alias("total")).orderBy(by).limit(want + SPARE if want else 1).collect()
-        total = seen.get["total"] or 0
-        rank = lambda r: -r["score"] if sort == "relevance" else r["key"] if sort == "mtime_asc" else -r["key"]
-        first = [r for r in first if r.doc >= 0]
-        if len(first) <= offset or not want:
-            return [], total
-        edge = rank(first[min(want, len(first)) - 1])
-        if len(first) == want + SPARE and rank(first[-1]) == edge:  # too many ties to fetch; parts gave their best by path, so these suffice
-            order = [by, F.asc("path")]
-            whole = found.select("seg", "doc", "score", "key").join(self.files().select("seg", "doc", "path"), ["seg", "doc"]).orderBy(*order).limit(want).collect()
-            keep = {(r.seg, r.doc): r for r in whole}
-        else:
-            keep = {(r.seg, r.doc): r for r in first if rank(r) <= edge}
-        rows = []
-        for seg, group in itertools.groupby(sorted(keep), key=lambda x: x[0]):
-            docs = [d for _, d in group]
-            files = G.read_files(self.spark, self.segments[seg]).where(F.col("doc").isin(*docs))
-            rows += [r.asDict(recursive=True) | {"score": keep[seg, r["doc"]]["score"], "key": keep[seg, r["doc"]]["key"]} for r in files.select("doc", *dict.fromkeys(("path", *columns)), *extra).collect()]
-        rows.sort(key=lambda r: (rank(r), r["path"].encode()))
-        return rows[offset:want], total
+        first = found.observe(seen, F.sum("hits").alias("total")).orderBy(by, F.asc("path")).limit(max(1, want)).collect()
+        page = [r for r in first if r.doc >= 0][offset:want]
+        rows = {(r.seg, r.doc): {"path": r.path, "score": r.score, "key": r.key} for r in page}
+        if set(columns) - {"path"} or extra:
+            for seg, group in itertools.groupby(sorted(rows), key=lambda x: x[0]):
+                files = self.readers[seg].files().where(F.col("doc").isin(*[d for _, d in group]))
+                for r in files.select("doc", *[c for c in dict.fromkeys(columns) if c != "path"], *extra).collect():
+                    rows[seg, r.doc] |= r.asDict(recursive=True)
+        return list(rows.values()), seen.get["total"] or 0
 
     def page(self, text: str, limit: int = 10, offset: int = 0, exts: tuple[str, ...] | None = None, sort: str = "relevance") -> Page:
         """One page of (path, score, snippet, highlighted, ext), and the number of all hits. A limit of 0 or less gives an empty page."""

@@ -3,12 +3,14 @@
 A segment is a folder with
 
 * ``files``: the rows with ``doc``, a number that is unique in the segment;
-* ``postings``: one row a term, field and part, where a part is up to PART files read together: the files' places in the part, how often
-  the term stands in each and where. Rows are clustered by a hash of the term and sorted, so a query reads the row groups of its terms. The
-  rows of bucket -1 have no term, but each part's file numbers, lengths, times, sizes and extensions;
-* ``lexicon``: in how many files each term stands, in small files by the same hash, which the driver reads without a job.
-
-Places and positions are kept as gaps. A term with a third of all postings is a row a part, and its parts are dealt to many files.
+* ``postings``: a shard for each partition of the files, one row a term, field and part, where a part is up to PART files read together:
+  the files' places in the part, how often the term stands in each and where. A shard is sorted by term, so a query reads the pages of its
+  terms. The row without a term has each part's file numbers, paths, lengths, times, sizes and extensions. A shard holds all that is known of its
+  files, so a query needs no shuffle: each task evaluates its shards;
+* ``lexicon``: in how many files each term stands, and in which 64ths of the shards, in small files by a hash of the term, which the driver
+  reads without a job.
+
+Places and positions are kept as gaps. A term with a third of all postings is a row a part, spread over all shards.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.folder import Folder
@@ -32,25 +34,26 @@ from loam.functions.text import tokens
 PART, PART_BYTES = 4096, 32 << 20
 #: Bytes of text for each bucket of terms, and how many buckets there are at least and at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 8192
-#: Scan partitions whose postings of one bucket are written by one task.
-SHARD = 16
+#: Groups of shards that the lexicon tells apart: the bits of a number.
+GROUPS = 64
 FIELDS = ("name", "content", "path")
 ROW = (
     "term string, field string, part long, n int, cf long, docs array<int>, tfs array<int>, positions array<int>, "
-    "ids array<long>, names array<int>, mtimes array<long>, sizes array<long>, exts array<string>, kinds array<string>"
+    "ids array<long>, names array<int>, mtimes array<long>, sizes array<long>, exts array<string>, kinds array<string>, paths array<string>"
 )
-_LISTS = {"docs": pa.int32(), "tfs": pa.int32(), "positions": pa.int32(), "ids": pa.int64(), "names": pa.int32(), "mtimes": pa.int64(), "sizes": pa.int64(), "exts": pa.string(), "kinds": pa.string()}
+_LISTS = {"docs": pa.int32(), "tfs": pa.int32(), "positions": pa.int32(), "ids": pa.int64(), "names": pa.int32(), "mtimes": pa.int64(), "sizes": pa.int64(), "exts": pa.string(), "kinds": pa.string(), "paths": pa.string()}
 
 
 @dataclass(frozen=True)
 class Segment:
-    """A written segment: its folder, files, total lengths by field and number of term buckets."""
+    """A written segment: its folder, files, total lengths by field, and numbers of lexicon buckets and of shards."""
 
     root: str
     n: int
     name: int
     content: int
     buckets: int
+    shards: int
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -80,7 +83,7 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def part_rows(part: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The posting rows of one part, from columns doc, mtime, size, ext, kind and t_<field> of its files. No token is touched in Python."""
+    """The posting rows of one part, from columns doc, path, mtime, size, ext, kind and t_<field> of its files. No token is touched in Python."""
     files, lengths = batch.num_rows, {}
     for f in FIELDS:
         column = batch.column(f"t_{f}")
@@ -108,7 +111,7 @@ def part_rows(part: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield _batch({
         "term": pa.array([""]), "field": pa.array([""]), "part": pa.array([part]), "n": pa.array([files], pa.int32()), "cf": pa.array([int(lengths["content"].sum())]),
         "ids": whole(of("doc"), pa.int64()), "tfs": whole(lengths["content"], pa.int32()), "names": whole(lengths["name"], pa.int32()),
-        "mtimes": whole(of("mtime"), pa.int64()), "sizes": whole(of("size"), pa.int64()), "exts": whole(of("ext"), pa.string()), "kinds": whole(of("kind"), pa.string()),
+        "mtimes": whole(of("mtime"), pa.int64()), "sizes": whole(of("size"), pa.int64()), "exts": whole(of("ext"), pa.string()), "kinds": whole(of("kind"), pa.string()), "paths": whole(of("path"), pa.string()),
     })
 
 
@@ -128,48 +131,53 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(files: DataFrame, root: str) -> Segment:
     """Writes a segment of index rows (path, name, ext, content, mtime, size, kind and any others) and returns it.
 
-    Rows are sorted by path within their partitions. One shuffle moves the finished postings to their buckets; texts move only into ``files``.
+    Rows are sorted by path within their partitions, and each partition becomes a shard. Texts and postings don't move between tasks; only the
+    lexicon's counts are shuffled.
     """
     spark = files.sparkSession
-    parts = files.rdd.getNumPartitions()
     files.sortWithinPartitions("path").withColumn("doc", F.monotonically_increasing_id()).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/files")
     stored = spark.read.parquet(f"{root}/files")
-    text = stored.agg(F.sum(F.octet_length("content")), F.count(F.lit(1))).first()
-    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, (text[0] or 0) // BUCKET_BYTES)))
-    toks = stored.select("doc", "mtime", "size", "ext", "kind", *[tokens(F.col(f)).alias(f"t_{f}") for f in FIELDS])
-    bucket = F.when(F.col("term") == "", -1).otherwise(F.crc32("term") % buckets).cast("int")
-    shard = F.floor(F.shiftright("part", 32) / SHARD)
-    rows = toks.mapInArrow(_parts, ROW).withColumn("bucket", bucket)
-    # small corpora have one shard, and a task a bucket
-    dealt = rows.repartition((buckets + 1) * (1 + parts // SHARD), "bucket", shard).sortWithinPartitions("bucket", "term", "field", "part")
-    dealt.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.page.size", 1 << 16).option("parquet.block.size", 16 << 20).partitionBy("bucket").parquet(f"{root}/postings")
-    posted = spark.read.schema(ROW + ", bucket int").parquet(f"{root}/postings")
-    counts = posted.where("bucket >= 0").groupBy("bucket", "term", "field").agg(F.sum("n").cast("long").alias("df"), F.sum("cf").alias("cf"))
+    toks = stored.select("doc", "path", "mtime", "size", "ext", "kind", *[tokens(F.col(f)).alias(f"t_{f}") for f in FIELDS])
+    shards = max(1, stored.rdd.getNumPartitions())
+    rows = toks.mapInArrow(_parts, ROW).sortWithinPartitions("term", "field", "part")
+    # one row group a file, so that no shard is read by two tasks
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": 6, "parquet.writer.version": "v2", "parquet.page.size": 1 << 16, "parquet.block.size": 1 << 29}
+    rows.write.mode("overwrite").options(**options).parquet(f"{root}/postings")
+    posted = spark.read.schema(ROW).parquet(f"{root}/postings")
+    text = stored.agg(F.sum(F.octet_length("content"))).first()[0]
+    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, (text or 0) // BUCKET_BYTES)))
+    counts = posted.groupBy("term", "field").agg(F.sum("n").cast("long").alias("df"), F.bit_or(F.expr(f"shiftleft(1L, CAST(floor(shiftright(part, 32) * {GROUPS} / {shards}) AS INT))")).alias("mask"))
+    counts = counts.where("term <> ''").withColumn("bucket", (F.crc32("term") % buckets).cast("int"))
     counts.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/lexicon")
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    total = posted.where("bucket = -1").agg(F.sum("n"), F.sum(add(F.col("names"))), F.sum("cf")).first()
-    return Segment(root, total[0] or 0, total[1] or 0, total[2] or 0, buckets)
+    total = posted.where("term = ''").agg(F.sum("n"), F.sum(add(F.col("names"))), F.sum("cf")).first()
+    return Segment(root, total[0] or 0, total[1] or 0, total[2] or 0, buckets, shards)
 
 
-def read_files(spark: SparkSession, segment: Segment) -> DataFrame:
-    return spark.read.parquet(f"{segment.root}/files")
+class Reader:
+    """A segment's tables, whose files are listed once."""
 
+    def __init__(self, spark: SparkSession, segment: Segment):
+        self.spark, self.segment, self.folder = spark, segment, Folder(spark, segment.root)
+        self.known: dict[tuple, DataFrame] = {}
 
-def read_postings(spark: SparkSession, segment: Segment, terms: list[str]) -> DataFrame:
-    """(term, field, part, docs, tfs, positions) of some terms: only their buckets' files are listed, only their pages read."""
-    where = {f"{segment.root}/postings/bucket={bucket_of(t, segment.buckets)}" for t in terms}
-    folder = Folder(spark, segment.root)
-    there = [w for w in sorted(where) if folder.exists(w[len(segment.root) + 1 :])]
-    rows = spark.read.schema(ROW).parquet(*there) if there else spark.createDataFrame([], ROW)
-    return rows.where(F.col("term").isin(*terms)).select("term", "field", "part", "docs", "tfs", "positions")
+    def files(self) -> DataFrame:
+        if () not in self.known:
+            self.known[()] = self.spark.read.parquet(f"{self.segment.root}/files")
+        return self.known[()]
 
+    def postings(self, mask: int = -1) -> DataFrame:
+        """The shards of the groups whose bits are set."""
+        groups = tuple(g for g in range(GROUPS) if mask >> g & 1)
+        if groups not in self.known:
+            names = [n for n in self.folder.names("postings") if n.startswith("part-")]
+            mine = [f"{self.segment.root}/postings/{n}" for n in names if int(n.split("-")[1]) * GROUPS // self.segment.shards in groups]
+            self.known[groups] = self.spark.read.schema(ROW).parquet(*mine) if mine else self.spark.createDataFrame([], ROW)
+        return self.known[groups]
 
-def read_parts(spark: SparkSession, segment: Segment) -> DataFrame:
-    """The rows without a term: what is known of each part's files."""
-    folder = Folder(spark, segment.root)
-    if not folder.exists("postings/bucket=-1"):
-        return spark.createDataFrame([], ROW)
-    return spark.read.schema(ROW).parquet(f"{segment.root}/postings/bucket=-1")
+    def parts(self) -> DataFrame:
+        """The rows without a term: what is known of each part's files."""
+        return self.postings().where("term = ''")
 
 
 class Lexicon:
@@ -177,11 +185,12 @@ class Lexicon:
 
     REMEMBERED = 20_000
 
-    def __init__(self, spark: SparkSession, segment: Segment):
-        self.segment, self.folder = segment, Folder(spark, segment.root)
-        self.known: dict[str, dict[str, int]] = {}
+    def __init__(self, reader: Reader):
+        self.segment, self.folder = reader.segment, reader.folder
+        self.known: dict[str, dict[str, tuple[int, int]]] = {}
 
-    def df(self, terms: list[str]) -> dict[tuple[str, str], int]:
+    def look_up(self, terms: list[str]) -> dict[tuple[str, str], tuple[int, int]]:
+        """(files, bits of the groups of shards) by field and term, for what the segment has."""
         missing = [t for t in dict.fromkeys(terms) if t not in self.known]
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
@@ -192,17 +201,12 @@ class Lexicon:
             part = f"lexicon/bucket={bucket}"
             for name in self.folder.names(part):
                 if name.endswith(".parquet"):
-                    found = pq.read_table(io.BytesIO(self.folder.read(f"{part}/{name}")), columns=["term", "field", "df"], filters=[("term", "in", mine)])
-                    for t, f, n in zip(*(c.to_pylist() for c in found.columns)):
-                        self.known[t][f] = n
-        return {(f, t): n for t in terms for f, n in self.known[t].items()}
+                    found = pq.read_table(io.BytesIO(self.folder.read(f"{part}/{name}")), columns=["term", "field", "df", "mask"], filters=[("term", "in", mine)])
+                    for t, f, n, mask in zip(*(c.to_pylist() for c in found.columns)):
+                        self.known[t][f] = n, mask % (1 << GROUPS)
+        return {(f, t): known for t in terms for f, known in self.known[t].items()}
 
 
 def size_on_disk(spark: SparkSession, segment: Segment, part: str) -> int:
     folder = Folder(spark, segment.root)
     return folder.fs.getContentSummary(folder.path(part)).getLength() if folder.exists(part) else 0
-
-
-def of_parts(rows: DataFrame, by: Column) -> DataFrame:
-    """Rows of a segment's terms gathered by part: a row a part with at most the query's terms in it."""
-    return rows.groupBy(by.alias("part")).agg(F.collect_list(F.struct("term", "field", "docs", "tfs", "positions")).alias("rows"))

@@ -120,7 +120,7 @@ class Store:
         return rows.select(place.alias("seg"), "part", "doc").where("seg >= 0"), lost
 
     def _segments(self, meta: dict) -> list[G.Segment]:
-        return [G.Segment(f"{self.root}/segments/{s['id']}", s["n"], s["name"], s["content"], s["buckets"]) for s in meta["segments"]]
+        return [G.Segment(f"{self.root}/segments/{s['id']}", s["n"], s["name"], s["content"], s["buckets"], s["shards"]) for s in meta["segments"]]
 
     def searcher(self, meta: dict | None = None) -> Searcher:
         """A reader of the present state; another one is needed to see later changes."""
@@ -139,7 +139,7 @@ class Store:
         if not made.n:
             self.folder.delete(f"segments/{name}")
             return None
-        return {"id": name, "n": made.n, "name": made.name, "content": made.content, "buckets": made.buckets}
+        return {"id": name, "n": made.n, "name": made.name, "content": made.content, "buckets": made.buckets, "shards": made.shards}
 
     def replace(self, files: DataFrame, roots: list[str] | None = None) -> int:
         """Makes the rows the whole index, as one segment; returns the index's version."""
@@ -160,7 +160,7 @@ class Store:
             return meta["version"]
         new = rows.where(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.struct(*COLUMNS[1:])).alias("_r")).select("path", "_r.*").select(COLUMNS)
         made = self._write(new)
-        fresh = G.read_files(self.spark, G.Segment(f"{self.root}/segments/{made['id']}", 0, 0, 0, 1)).select("path") if made else self.spark.createDataFrame([], "path string")
+        fresh = self.spark.read.parquet(f"{self.root}/segments/{made['id']}/files").select("path") if made else self.spark.createDataFrame([], "path string")
         reader = self.searcher(meta)
         deletion, counts = None, {"upserted": made["n"] if made else 0, "removed": 0, "skipped": changes.where("op = 'upsert'").select("path").distinct().join(fresh, "path", "left_anti").count()}
         if meta["segments"]:
@@ -191,9 +191,9 @@ class Store:
     def _delete(self, meta: dict, doomed: DataFrame) -> dict | None:
         """Writes which files of the present segments count no more, with their parts, from (seg, doc, ...); None for none."""
         name, places = uuid.uuid4().hex[:16], None
-        for k, s in enumerate(self._segments(meta)):
+        for k, reader in enumerate(self.searcher(meta).readers):
             zipped = F.explode(F.arrays_zip(F.col("ids").alias("doc"), F.col("names").alias("words_name"), F.col("tfs").alias("words_content"))).alias("x")
-            one = G.read_parts(self.spark, s).select("part", zipped).select(F.lit(k).alias("seg"), F.lit(meta["segments"][k]["id"]).alias("segment"), "part", "x.*")
+            one = reader.parts().select("part", zipped).select(F.lit(k).alias("seg"), F.lit(meta["segments"][k]["id"]).alias("segment"), "part", "x.*")
             places = one if places is None else places.union(one)
         found = places.join(doomed.select("seg", "doc"), ["seg", "doc"])
         found.select("segment", "part", "doc", "words_name", "words_content").write.option("compression", "zstd").parquet(f"{self.root}/deletes/{name}")
