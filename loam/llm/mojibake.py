@@ -1,8 +1,7 @@
 """Garbled text from a wrong character encoding: found and restored by best-first search over encode, decode and unescape steps.
 
 A state is a text. From a text one encode step leads to bytes and one decode step to another text, or an unescape step leads straight
-to another text. The cheapest text so far is expanded first, its hash is remembered, and the search ends when nothing cheaper can
-follow. The cost counts implausible characters and neighbours, so sound text in any of the corpus's scripts costs next to nothing.
+to another text. The cheapest text so far is expanded first, by whatever way it came, and texts are remembered as they are reached. The cost counts implausible characters and neighbours, so sound text in any of the corpus's scripts costs next to nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +22,8 @@ from loam.session import spread, table
 ENCODINGS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "gbk")
 #: Steps (an encode and a decode, or an unescape) on one path at most: text is rarely garbled more than twice.
 DEPTH = 3
+#: Texts of up to so many times the least cost reached so far are gone on with.
+DEARER = 2.0
 #: A path must lower the cost by this much, and to this share of what it was.
 GAIN, SHARE = 1.5, 0.5
 #: Quotations up to so many characters that hold nothing but what is garbled are examples, not damage.
@@ -72,6 +73,9 @@ SIGNALS = [
     (3.0, re.compile(f"[{_RARE}]")),
     (2.0, re.compile("[ぁ-ヿㄅ-ㄯ㈠-㋿ｦ-ﾟ]")),
     (1.5, re.compile(rf"(?<=[a-z{_LOWER}])[㐀-鿿]{{1,2}}(?=[{_LOWER}a-z])|(?<=[A-Za-z])[{_CYR}]|[{_CYR}](?=[A-Za-z])")),
+    (2.5, re.compile("[ﬁﬂ⁄]")),
+    (1.4, re.compile(r"(?<=\s)[¡¿](?=\s)")),
+    (2.0, re.compile(r"(?<=[a-zß-öø-ÿ])[㐀-鿿]{1,2}(?![㐀-鿿])")),
     (0.8, re.compile("[ÃÂÐØÞðþĂĐ]")),
     (1.4, re.compile(r"[\u0180-\u036f\u0370-\u0400\u0460-\u0fff\uac00-\ud7a3]")),
     (1.4, re.compile(r"(?<!\S)[㐀-鿿](?!\S)")),
@@ -99,6 +103,10 @@ _RARE_SET = set(re.findall(f"[{_RARE}]", "".join(map(chr, range(0x3400, 0xA000))
 #: A quick test before the gate: texts of everyday characters only can't be garbled, but for what PLAIN_TOO shows.
 SUSPECT = re.compile(rf"[^\x00-\x7f{_unsuspected()}]")
 PLAIN_TOO = re.compile(r"[А-ЯЁ]{4}|[а-яё][А-ЯЁ]|[А-ЯЁа-яё][“–—…]|[à-ÿ]{3}|[a-z][“–—](?=[a-z])")
+# The accented letters of the corpus's languages in Latin script.
+ALPHABETS = ("äöüß", "éèêëàâçîïôùûœæÿ", "áéíóúñü", "áâãàçéêíóôõú", "áčďéěíňóřšťúůýž", "ąćęłńóśźż")
+_ACCENTED = re.compile("[à-öø-ÿßœā-ž]")
+_INSIDE = re.compile(rf"(?<={_LETTER})[«»°²³¹ºªⁿ‘”“„‚](?={_LETTER})")
 _RANK = {c: i for i, c in enumerate(RUSSIAN)}
 _CYR_ALL = re.compile(f"[{_CYR}]")
 _EXAMPLE = re.compile(rf"“[^“”\n]{{1,{QUOTED}}}”|\"[^\"\n]{{1,{QUOTED}}}\"|«[^«»\n]{{1,{QUOTED}}}»|„[^„“\n]{{1,{QUOTED}}}“|‘[^‘’\n]{{1,{QUOTED}}}’|「[^「」\n]{{1,{QUOTED}}}」|`[^`\n]{{1,{QUOTED}}}`|'[^'\n]{{1,{QUOTED}}}'")
@@ -110,6 +118,10 @@ def cost(text: str) -> float:
     if text.isascii() and "&" not in text and "\\" not in text:
         return 0.0
     total = sum(w * len(p.findall(text)) for w, p in SIGNALS)
+    total += 2.5 * len(_INSIDE.findall(text))
+    accented = _ACCENTED.findall(text.lower())
+    if accented:  # one language's letters go together
+        total += 0.5 * min(sum(c not in a for c in accented) for a in ALPHABETS)
     letters = _CYR_ALL.findall(text)
     if letters:
         # common letters first: sound Russian has a mean rank of about 8, shuffled letters one of 16
@@ -145,16 +157,14 @@ Step = tuple[str, str]
 
 
 def steps(text: str) -> Iterator[tuple[Step, str]]:
-    """All texts one step away."""
+    """All texts one step away, those that come out of strict UTF-8 first."""
     if "&" in text or "\\" in text:
         yield ("unescape", ""), unescape(text)
-    for e in ENCODINGS:
-        raw = to_bytes(text, e)
-        if raw is None:
-            continue
-        whole = to_text(raw, "utf-8")
-        if whole is not None:
+    raws = [(e, raw) for e in ENCODINGS if (raw := to_bytes(text, e)) is not None]
+    for e, raw in raws:
+        if (whole := to_text(raw, "utf-8")) is not None:
             yield (e, "utf-8"), whole
+    for e, raw in raws:
         for d in ENCODINGS:
             if d != e and (out := to_text(raw, d)) is not None:
                 yield (e, d), out
@@ -177,47 +187,54 @@ def toll(path: tuple[Step, ...]) -> float:
     return sum(0.2 if to in ("utf-8", "") else 0.8 for _, to in path)
 
 
+def plausible(text: str, price: float) -> bool:
+    """Whether what a text costs is no more than what its script costs anyway."""
+    return price < 0.8 + 0.021 * sum(c > "\xff" for c in text) + 0.11 * len(_ACCENTED.findall(text))
+
+
+@lru_cache(20_000)
 def search(text: str) -> tuple[str, tuple[Step, ...]]:
-    """The cheapest reachable text and the path to it; a step costs a little itself, so the shortest of equal paths wins."""
+    """The cheapest reachable text and the path to it, by best-first search: of all texts reached the one of least cost goes on, be it dearer
+    than what it came from. Steps cost a little themselves, so the shortest of equal paths wins.
+
+    A text that is reached again is not gone on with, unless by a cheaper path. The search ends when the cheapest text is plausible or nothing
+    is left within DEARER of it. The result depends on the text alone: what is remembered are results of whole searches.
+    """
     best, way = text, ()
     lowest = cost(text)
-    queue, seen, n = [(lowest, 0, text, ())], {hash(text)}, 0
+    queue, seen, n = [(lowest, 0, text, ())], {text: 0.0}, 0
     while queue:
         c, _, at, path = heapq.heappop(queue)
-        if len(path) == DEPTH or c > 2 * lowest + 10:  # dearer texts than this lead to no cheaper ones
-            continue
+        if c > DEARER * lowest + 3 or plausible(best, lowest):
+            break
         for step, after in steps(at):
-            if (h := hash(after)) in seen:
+            further = (*path, step)
+            fare = toll(further)
+            if seen.get(after, fare + 1.0) <= fare:
                 continue
-            seen.add(h)
-            price = cost(after) + toll((*path, step))
+            seen[after] = fare
+            price = cost(after) + fare
             if price < lowest:
-                best, way, lowest = after, (*path, step), price
-            if price < c:
+                best, way, lowest = after, further, price
+                if step[1] == "utf-8" and plausible(best, lowest):  # hardly any bytes pass as UTF-8 and read well by chance
+                    return best, way
+            if len(further) < DEPTH and price <= DEARER * lowest + 3:
                 n += 1
-                heapq.heappush(queue, (price, n, after, (*path, step)))
-        if lowest < 0.03 * len(best) + 0.5:
-            break
+                heapq.heappush(queue, (price, n, after, further))
     return best, way
 
 
-_paths: dict[tuple[Step, ...], int] = {}
-
-
-def cheapest(text: str) -> tuple[str, tuple[Step, ...]]:
-    """``search``, but paths that helped before are tried first and taken if they leave nothing implausible."""
+def cheapest(text: str, known: list[tuple[Step, ...]]) -> tuple[str, tuple[Step, ...]]:
+    """``search``, but paths ``known`` from other lines of the same record are tried first and taken if they leave a plausible text."""
     before, best = cost(text), None
-    for path in _paths:
+    for path in known:
         after = follow(text, path)
-        if after is not None and after != text and cost(after) < min(0.15 * before, 0.03 * len(after) + 0.5):
-            best = min(best, (cost(after) + toll(path), path, after)) if best else (cost(after) + toll(path), path, after)
+        if after is not None and after != text and cost(after) < 0.15 * before and plausible(after, cost(after)):
+            found = (cost(after) + toll(path), path, after)
+            best = min(best, found) if best else found
     if best:
-        _paths[best[1]] += 1
         return best[2], best[1]
-    after, path = search(text)
-    if path and cost(after) <= SHARE * before:
-        _paths[path] = _paths.get(path, 0) + 1
-    return after, path
+    return search(text)
 
 
 _RUN = re.compile(r"\S*[^\x00-\x7f]\S*(?:[ \xa0]\S*[^\x00-\x7f]\S*)*")
@@ -228,19 +245,25 @@ def better(before: str, after: str) -> bool:
     return after != before and a - b >= GAIN and b <= SHARE * a
 
 
-def restore_line(line: str) -> str:
+def restore_line(line: str, known: list[tuple[Step, ...]]) -> str:
     """The line mended as a whole if strict UTF-8 came out or most of it was garbled, else each run of words with characters beyond ASCII on
     its own if that is cheaper."""
-    whole, path = cheapest(line)
+    whole, path = cheapest(line, known)
     if better(line, whole) and (all(to == "utf-8" for _, to in path) or sum(c > "\x7f" for c in line) > 0.2 * len(line)):
+        known += [path] if path not in known else []
         return whole
 
+    fares = [0.0]
+
     def run(m: re.Match) -> str:
-        after = cheapest(m[0])[0]
-        return after if better(m[0], after) else m[0]
+        after, way = cheapest(m[0], known)
+        if not better(m[0], after):
+            return m[0]
+        fares.append(toll(way))
+        return after
 
     parts = _RUN.sub(run, line)
-    return min((whole, parts), key=cost) if better(line, whole) else parts
+    return whole if better(line, whole) and cost(whole) + toll(path) < cost(parts) + max(fares) else parts
 
 
 def suspicious(text: str) -> bool:
@@ -256,15 +279,17 @@ def restore(text: str) -> tuple[str, bool]:
     """
     if not suspicious(text):
         return text, False
-    lines, found = text.split("\n"), False
+    lines, found, known = text.split("\n"), False, []
     for i, line in enumerate(lines):
         if not line or not GATE.search(line):
             continue
         bare = _EXAMPLE.sub("", line)
         if bare != line and not GATE.search(bare):
             continue
-        after = restore_line(line)
-        if better(bare, restore_line(bare) if bare != line else after):
+        after = restore_line(line, known)
+        # a repair may need the quoted places too; then most of the damage must lie outside them
+        outside = bare == line or cost(bare) >= max(GAIN, 0.5 * cost(line))
+        if better(line, after) and outside or bare != line and better(bare, restore_line(bare, known)):
             found, lines[i] = True, after
         elif BROKEN.search(bare):
             found = True

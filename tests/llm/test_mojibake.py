@@ -43,3 +43,33 @@ def test_table(spark):
     got = {r.file_id: (r.content, r.found) for r in M.restored(rows).collect()}
     assert got[1] == ("geprüft", True) and got[2] == (None, False) and got[3] == ("", False) and got[4] == ("ok", False) and got[5][0].endswith(" für")
     assert M.restored(rows.limit(0)).count() == 0
+
+
+PATHS = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("cp1251", "latin-1"), ("koi8_r", "cp1251"), ("cp1252", "mac_roman")]
+
+
+def garbled():
+    out = []
+    for text in SOUND.values():
+        for written, read in PATHS:
+            try:
+                raw = text.encode(written).decode(read)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if raw != text:
+                out.append((raw, text))
+    return out
+
+
+def test_share_of_exactly_restored_texts():
+    cases = garbled()
+    right = sum(M.restore(raw)[0] == text for raw, text in cases)
+    assert len(cases) > 20 and right >= 0.95 * len(cases), (right, len(cases))
+
+
+def test_results_depend_on_the_row_alone(spark):
+    texts = [raw for raw, _ in garbled()] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    one = {r.file_id: r.content for r in M.restored(rows.coalesce(1).orderBy("file_id")).collect()}
+    other = {r.file_id: r.content for r in M.restored(rows.repartition(7).sortWithinPartitions("content")).collect()}
+    assert one == other
