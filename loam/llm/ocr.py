@@ -8,7 +8,6 @@ reflowed to paragraphs with SQL windows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,20 +22,18 @@ PAIRS = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"))
 SINGLES = {"a": "@", "o": "0", "l": "1!|i", "s": "5$", "c": "e", "b": "h8ß6", "f": "t", "q": "g9"}
 #: A form is taken for a misreading of one that is at least so many times as frequent (in records).
 RATIO = 6
-#: Misread words of letters only that make a record count as misread; single rare words also come about by chance. Of words with a digit
-#: or sign inside letters one is enough.
-EVIDENCE = 3
+#: A word with a digit or sign inside letters is none by itself, so it needs no context to be taken for a misreading.
 _MIXED = r"\p{L}[0-9@!$|]+\p{L}"
 
-#: Pairs of words that a worker counts before it passes them on.
-COUNTED = 300_000
-
 _FROM = "".join(x for v in SINGLES.values() for x in v)
 _TO = "".join(k for k, v in SINGLES.items() for _ in v)
 _SINGLE = str.maketrans(_FROM, _TO)
 BROKEN_D = re.compile("c[l1!|]")
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐\xad] ?\n *(?=[^\W\d_])")
 TOKEN = re.compile(r"[\w@!$|]+")
+MIXED = re.compile(r"[^\W\d_][0-9@!$|]+[^\W\d_]")
+#: Words whose skeletons a worker remembers before it begins anew.
+REMEMBERED = 300_000
 
 # Java's dialect, for columns
 _NUMBER = r"^[\[(—–-]?\s*(?i:(?:p[aá@][gq][ec]|[s5]e[il1!][tf][ec]|p[aá@][gq](?:ina)?|стр(?:аница)?|第)\.?\s*)?\d{1,5}(?:\s*/\s*\d{1,5})?\s*页?\s*[\])—–-]?$"
@@ -56,7 +53,7 @@ def skeleton(word: str) -> str:
 def fold(line: Column) -> Column:
     """A line's shape for recognising it elsewhere: page number cut off, digits masked, confusable glyphs and separators folded."""
     out = F.regexp_replace(line, r"^\d+\s*\|?\s*|\s*\|?\s*\d+$", "")
-    out = F.lower(F.regexp_replace(out, r"\d", "#"))
+    out = F.replace(F.lower(F.regexp_replace(out, r"\d", "#")), F.lit("ß"), F.lit("ss"))
     for pair, one in PAIRS:
         out = F.replace(out, F.lit(pair), F.lit(one))
     return F.trim(F.regexp_replace(F.translate(out, _FROM, _TO), r"[^\p{L}\p{N}#]+", " "))
@@ -77,36 +74,32 @@ def is_word(token: str) -> bool:
     return len(token) > 2 and any(c.isalpha() for c in token) and not any("㐀" <= c <= "鿿" for c in token)
 
 
-def pairs_of_words(recs: DataFrame) -> DataFrame:
-    """(skel, word, before, n): in how many records a word stands after another. Counted in each partition before the shuffle."""
+def spots(recs: DataFrame) -> DataFrame:
+    """(path, skel, word, before, after): each record's words with their neighbours in lower case, once for each surrounding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        known: dict[str, str] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            out: list[list] = [[], [], [], [], []]
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = tokens(text)
-                counts.update({(w, b.lower()) for b, w in zip(["", *found], found) if is_word(w)})
-            if len(counts) > COUNTED:
-                yield rows(counts)
-                counts.clear()
-        yield rows(counts)
-
-    def rows(counts: Counter) -> pa.RecordBatch:
-        words, befores = [w for w, _ in counts], [b for _, b in counts]
-        known = {w: skeleton(w) for w in set(words)}
-        return pa.RecordBatch.from_arrays([pa.array([known[w] for w in words], pa.string()), pa.array(words, pa.string()), pa.array(befores, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["skel", "word", "before", "n"])
-
-    counted = recs.select("content").mapInArrow(run, "skel string, word string, before string, n long")
-    return counted.groupBy("skel", "word", "before").agg(F.sum("n").alias("n"))
-
-
-def corrections(pairs: DataFrame) -> DataFrame:
-    """(word, before, form): for each misread word after another the form to read, unique by word and before.
-
-    Candidates are the forms of letters only in the word's group that are RATIO times as frequent. The one that is seen after the same
-    word most often wins, then the most frequent, then the least by name.
-    """
-    forms = pairs.groupBy("skel", "word").agg(F.sum("n").alias("n"))
+                low = [w.lower() for w in found]
+                mine = {(w, b, a) for w, b, a in zip(found, ["", *low], [*low[1:], ""]) if is_word(w)}
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w, b, a in mine:
+                    if (skel := known.get(w)) is None:
+                        known[w] = skel = skeleton(w)
+                    for column, value in zip(out, (path, skel, w, b, a)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["path", "skel", "word", "before", "after"])
+
+    return recs.mapInArrow(run, "path string, skel string, word string, before string, after string")
+
+
+def confusions(seen: DataFrame) -> DataFrame:
+    """(word, form, total): for each word that may be misread the forms of letters only in its group that are RATIO times as frequent."""
+    forms = seen.groupBy("skel", "word").agg(F.count(F.lit(1)).alias("n"))
     # spellings that differ by case only support each other
     forms = forms.withColumn("total", F.sum("n").over(W.partitionBy("skel", F.lower("word"))))
     # one of a group's forms must be frequent for any to be misread
@@ -114,45 +107,44 @@ def corrections(pairs: DataFrame) -> DataFrame:
     forms = forms.withColumn("top", top).where(F.col("top") >= RATIO).drop("top")
     good = forms.where(F.col("word").rlike(r"^\p{L}+$")).groupBy("skel", F.lower("word").alias("form")).agg(F.max("total").alias("total"))
     rare = forms.select("skel", "word", F.col("total").alias("seen"))
-    candidates = rare.join(good, "skel").where((F.col("total") >= RATIO * F.col("seen")) & (F.lower("word") != F.col("form"))).select("skel", "word", "form", "total")
-    spots = pairs.select("skel", "word", "before").join(candidates, ["skel", "word"])
-    support = pairs.groupBy("skel", F.lower("word").alias("form"), "before").agg(F.sum("n").alias("support"))
-    ranked = spots.join(support, ["skel", "form", "before"], "left")
-    best = F.max(F.struct(F.coalesce("support", F.lit(0)).alias("support"), "total", "form")).alias("best")
-    return ranked.groupBy("word", "before").agg(best).select("word", "before", F.col("best.form").alias("form"))
+    return rare.join(good, "skel").where((F.col("total") >= RATIO * F.col("seen")) & (F.lower("word") != F.col("form"))).select("word", "form", "total")
 
 
-def occurrences(recs: DataFrame) -> DataFrame:
-    """(path, word, before) of each record's words."""
+def corrections(seen: DataFrame, scratch: Scratch) -> DataFrame:
+    """(path, word, before, after, form): what to read for each misread word of each record.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, words, befores = [], [], []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = tokens(text)
-                mine = {(w, b.lower()) for b, w in zip(["", *found], found) if is_word(w)}
-                paths += [path] * len(mine)
-                words += [w for w, _ in mine]
-                befores += [b for _, b in mine]
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(words, pa.string()), pa.array(befores, pa.string())], names=["path", "word", "before"])
-
-    return recs.mapInArrow(run, "path string, word string, before string")
+    Of the forms that may be meant the one that most often stands between the same neighbours counts, after the one or before the other;
+    then the most frequent, then the least by name. A word of letters only is misread only where the form has been seen beside one
+    of its neighbours; one with a digit or sign inside letters always is.
+    """
+    may = scratch.keep(confusions(seen))
+    words = may.select("word").distinct()
+    doubtful = scratch.keep(small_join(seen, words, ["word"], "inner").select("path", "word", "before", "after"))
+    asked = scratch.keep(doubtful.join(may, "word"))
+    either = None
+    for side in ("before", "after"):
+        # only neighbours that are asked for are counted
+        keys = asked.select("form", side).distinct()
+        counted = small_join(seen.select(F.lower("word").alias("form"), side), keys, ["form", side], "inner").groupBy("form", side).agg(F.count(F.lit(1)).alias(f"n_{side}"))
+        either = (asked if either is None else either).join(counted, ["form", side], "left")
+    support = F.coalesce("n_before", F.lit(0)) + F.coalesce("n_after", F.lit(0))
+    best = F.max(F.struct(support.alias("support"), "total", "form")).alias("best")
+    read = either.groupBy("path", "word", "before", "after").agg(best)
+    return read.where((F.col("best.support") > 0) | F.col("word").rlike(_MIXED)).select("path", "word", "before", "after", F.col("best.form").alias("form"))
 
 
 def misread(recs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(path, fixes): records with a misread word that has a digit or sign inside letters, or at least EVIDENCE of any; and what to read for each (word, before)."""
-    fixing = scratch.keep(corrections(scratch.keep(pairs_of_words(recs))))
-    found = small_join(occurrences(recs), fixing, ["word", "before"], "inner")
-    fixes = F.collect_list(F.struct("word", "before", "form")).alias("fixes")
-    seen = found.groupBy("path").agg(fixes, F.count_distinct("word").alias("n"), F.max(F.col("word").rlike(_MIXED)).alias("mixed"))
-    return seen.where(F.col("mixed") | (F.col("n") >= EVIDENCE)).select("path", "fixes")
+    """(path, fixes): the records with misread words, and what to read for each in its surroundings. The texts are read once."""
+    found = corrections(scratch.keep(spots(recs)), scratch)
+    return found.groupBy("path").agg(F.collect_list(F.struct("word", "before", "after", "form")).alias("fixes"))
 
 
 def lines(recs: DataFrame) -> DataFrame:
     """(path, pos, line, is_number, is_header, beside): each line of a record and whether it is a page number or a running header.
 
-    A form feed is a line of its own. A header is a line at a page's edge, beside a page number or alone, without a sentence's end, whose
-    folded shape comes at least twice in the record; or one of several that have a title's shape, as left and right pages differ.
+    A form feed is a line of its own. A header is a line without a sentence's end whose folded shape comes at least twice in the record, at a
+    page's edge, beside a page number or alone, or anywhere if it has a title's shape; or one of several titles at page edges, as left
+    and right pages differ.
     """
     cut = recs.select("path", F.posexplode(F.split(F.regexp_replace("content", "\f", "\n\f\n"), "\n")).alias("pos", "line"))
     order = W.partitionBy("path").orderBy("pos")
@@ -161,9 +153,11 @@ def lines(recs: DataFrame) -> DataFrame:
     number = lambda c: F.col(c).rlike(_NUMBER)
     side = lambda c: F.col(c).isin("", "\f") | number(c)
     placed = (F.col("prev") == "\f") | (F.col("next") == "\f") | number("prev") | number("next") | (side("prev") & side("next"))
-    candidate = placed & ~number("s") & ~F.col("s").isin("", "\f") & (F.length("s") < 80) & F.col("s").rlike(r"\p{L}") & ~F.col("s").rlike(r"\.{3}") & ~F.col("s").rlike(_SENTENCE_END)
-    shaped = near.withColumn("candidate", candidate).withColumn("key", F.when(F.col("candidate"), fold(F.col("s"))))
-    titled = F.col("candidate") & (F.col("s").rlike(_TITLED) | (F.col("s").rlike(r"\p{Lu}{3}") & (F.upper("s") == F.col("s"))))
+    base = ~number("s") & ~F.col("s").isin("", "\f") & (F.length("s") < 80) & F.col("s").rlike(r"\p{L}") & ~F.col("s").rlike(r"\.{3}") & ~F.col("s").rlike(_SENTENCE_END)
+    title = base & (F.col("s").rlike(_TITLED) | (F.col("s").rlike(r"\p{Lu}{3}") & (F.upper("s") == F.col("s"))))
+    marked = near.withColumn("placed", placed).withColumn("title", title)
+    shaped = marked.withColumn("candidate", base & (F.col("placed") | F.col("title"))).withColumn("key", F.when(F.col("candidate"), fold(F.col("s"))))
+    titled = F.col("title") & F.col("placed")
     same = F.count(F.lit(1)).over(W.partitionBy("path", "key"))
     titles = F.sum(titled.cast("int")).over(W.partitionBy("path"))
     header = F.col("candidate") & (F.col("key") != "") & ((same >= 2) | (titled & (titles >= 2)))
@@ -212,29 +206,36 @@ def repaired(recs: DataFrame, scratch: Scratch) -> DataFrame:
         for batch in batches:
             out = []
             for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out.append(reread(text or "", {(f["word"], f["before"]): f["form"] for f in fixes or ()}))
+                out.append(reread(text or "", [tuple(f.values()) for f in fixes or ()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "content"])
 
     return fixed.select("path", "content", "fixes").mapInArrow(run, "path string, content string")
 
 
-def reread(text: str, fixes: dict[tuple[str, str], str]) -> str:
-    """The text with misread words replaced in the case of what stands there."""
+def reread(text: str, fixes: list[tuple[str, str, str, str]]) -> str:
+    """The text with misread words (word, before, after, form) replaced in the case of what stands there.
+
+    A word is replaced beside one of the neighbours that it was found with. Over a removed line both may be others; then only a word that is
+    none by itself is replaced.
+    """
     if not fixes:
         return text
-    before, alone = "", {w: form for (w, _), form in fixes.items()}  # over a removed line the word before is another one
-
-    def word(m: re.Match) -> str:
-        nonlocal before
-        form, before = fixes.get((m[0], before), alone.get(m[0])), m[0].lower()
-        if form is None:
-            return m[0]
-        letters = [c for c in m[0] if c.isalpha()]
-        if len(letters) > 1 and all(c.isupper() for c in letters):
-            return form.upper()
-        return form.capitalize() if letters[0].isupper() else form
-
-    return TOKEN.sub(word, text)
+    after_, before_ = {(w, b): form for w, b, _, form in fixes}, {(w, a): form for w, _, a, form in fixes}
+    alone = {w: form for w, _, _, form in fixes if MIXED.search(w)}
+    found = list(TOKEN.finditer(text))
+    low = ["", *(m[0].lower() for m in found), ""]
+    out, at = [], 0
+    for k, m in enumerate(found):
+        form = after_.get((m[0], low[k])) or before_.get((m[0], low[k + 2])) or alone.get(m[0])
+        if form is not None:
+            letters = [c for c in m[0] if c.isalpha()]
+            if len(letters) > 1 and all(c.isupper() for c in letters):
+                form = form.upper()
+            elif letters[0].isupper():
+                form = form.capitalize()
+            out += [text[at : m.start()], form]
+            at = m.end()
+    return "".join(out) + text[at:]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
