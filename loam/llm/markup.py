@@ -1,6 +1,6 @@
 """Markup residue in text documents: which languages a content is written in, and the content as plain text.
 
-Differencing neighbouring pages can find lines that pages share, but neither names a language nor keeps what a page has alone, so each
+Page differencing (``pagediff``) finds lines that pages share, but it neither names a language nor keeps what a page has alone, so each
 language is recognised by its own constructs, with program source and quoted code masked first, and converted construct by construct.
 """
 

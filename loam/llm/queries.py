@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import bpe, leak, markup, mojibake, neardup, ocr, residue
+from loam.llm import bpe, leak, markup, mojibake, neardup, ocr, pagediff, residue
 
 REGISTRY = {
     "p2_found": (neardup.p2_found, None),
@@ -13,6 +13,7 @@ REGISTRY = {
     "p5_repaired": (ocr.p5_repaired, None),
     "p6_found": (markup.p6_found, None),
     "p6_plain": (markup.p6_plain, None),
+    "p6_differenced": (pagediff.p6_differenced, None),
     "p8_ids": (bpe.p8_ids, None),
     "p9_found": (leak.p9_found, leak.P9_SQL),
     "p9_spans": (leak.p9_spans, None),
