@@ -15,7 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.session import BROADCAST_ROWS, Scratch, small_join, spread, table, within
@@ -170,26 +171,76 @@ def block_pairs(members: DataFrame, texts: DataFrame, p: Params, bucket: int) ->
     return keyed.join(texts, "code").groupBy("band", "lo", "hi").applyInPandas(run, "a long, b long, similarity double")
 
 
+def buckets_of(bands: DataFrame, most: int) -> tuple[DataFrame, Column]:
+    """(band, codes, k) of the bands that several texts share, with up to ``most`` members and one more, and what tells those with more.
+
+    Members are ranked, and ranks beyond the bound are dropped in each task before the shuffle, so a band that a third of all texts share
+    brings a bounded number of rows from each task and to the one that puts it together. Nothing is lost: what is crowded is told apart.
+    """
+    order = W.partitionBy("band").orderBy("code")
+    first = bands.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most + 1)
+    shared = first.withColumn("before", F.lag("code").over(order)).withColumn("after", F.lead("code").over(order)).where("before IS NOT NULL OR after IS NOT NULL")
+    return shared.groupBy("band").agg(F.collect_set("code").alias("codes"), F.max("k").alias("k")), F.col("k") > most
+
+
+def crowds(bands: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(band, n, code) of all members of crowded bands; of bands with the same members only one is kept."""
+    members = small_join(bands, crowded.select("band"), ["band"], "inner").distinct()
+    marks = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("code").alias("x"), F.bit_xor(F.xxhash64("code")).alias("y"))
+    kept = marks.groupBy("n", "x", "y").agg(F.min("band").alias("band")).where("n > 1").select("band", "n")
+    return small_join(members, kept, ["band"], "inner").select("band", "n", "code")
+
+
 def links(texts: DataFrame, p: Params, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """(a, b, similarity), a < b, of all different texts that reach the least similarity, from (code, content) unique by content.
+    """(a, b, similarity), a < b, of all different texts that reach the least similarity, from (code, content).
 
     Buckets of up to ``bucket`` texts give candidate pairs, which are made distinct and then verified; larger ones go through
     ``block_pairs``, so no bucket is cut short and none is one task. Contents travel only for texts that are candidates.
     """
-    members = F.collect_set("code").alias("codes")
-    buckets = scratch.keep(banded(texts, p).groupBy("band").agg(members).where(F.size("codes") > 1))
-    pairs = buckets.where(F.size("codes") <= bucket).select(F.explode("codes").alias("a"), "codes").select("a", F.explode("codes").alias("b")).where("a < b")
+    bands = banded(texts, p)
+    shared, more = buckets_of(bands, bucket)
+    shared = scratch.keep(shared.withColumn("crowded", more).drop("k"))
+    pairs = shared.where(~F.col("crowded") & (F.size("codes") > 1)).select(F.explode("codes").alias("a"), "codes").select("a", F.explode("codes").alias("b")).where("a < b")
     pairs = scratch.keep(pairs.distinct())
-    large = buckets.where(F.size("codes") > bucket).select("band", F.size("codes").alias("n"), F.explode("codes").alias("code"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("code")).union(large.select("code")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("code"))
+    crowded, large = shared.where("crowded").select("band"), None
+    if not crowded.isEmpty():
+        large = scratch.keep(crowds(bands, crowded))
+        wanted = wanted.union(large.select("code"))
+    wanted = wanted.distinct()
     wanted = F.broadcast(wanted) if within(wanted, BROADCAST_ROWS) else wanted
     chosen = scratch.keep(texts.join(wanted, "code", "left_semi").dropDuplicates(["code"]))
     found = verified(pairs, chosen, p)
-    if not large.isEmpty():
+    if large is not None:
         found = found.union(block_pairs(large, chosen, p, bucket)).dropDuplicates(["a", "b"])
     return found
 
 
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes of undirected edges (a, b): the least node of each connected component, by alternating stars.
+
+    In a round each node links its greater neighbours to its least one, and then its lesser ones likewise, so distances shrink by about half. A
+    node with a third of all edges is a partial aggregate and a join on its least neighbour.
+    """
+    now, mark = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = small_join(both.where("v > u"), least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.keep(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = small_join(large, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct()
+        small = scratch.keep(small)
+        after = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
+        scratch.drop(now)
+        scratch.drop(large)
+        now = small
+        if after == mark:
+            break
+        mark = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
+
+
 def coded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(code, content) of the rows, and the members (file_id, code): the code is a hash of the content.
 
@@ -248,3 +299,16 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     degree = found.select(F.explode(F.array("a", "b")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("links"))
     ids = members.groupBy("code").agg(F.min("file_id").alias("class_id"))
     return members.join(ids, "code").join(degree, "code", "left").select("file_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, group_id, links): each file's group, in which every text is similar to another one of it or a copy, by its least file id; and to how
+    many other texts the file's is similar. A file like no other is a group of its own."""
+    scratch = Scratch(spark, "groups")
+    texts, members = coded(spread(table(spark, sf_dir, "indexed_files").select("file_id", "content", "indexed_at")))
+    found = scratch.keep(links(texts, P2, scratch).select("a", "b"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("links"))
+    roots = components(found, scratch).select(F.col("node").alias("code"), "root")
+    placed = scratch.keep(members.join(roots, "code", "left").join(degree, "code", "left").withColumn("root", F.coalesce("root", "code")))
+    least = placed.groupBy("root").agg(F.min("file_id").alias("group_id"))
+    return small_join(placed, least, ["root"], "inner").select("file_id", "group_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

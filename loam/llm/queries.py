@@ -7,6 +7,7 @@ from loam.llm import bpe, leak, markup, mojibake, neardup, ocr, pagediff, residu
 REGISTRY = {
     "p2_found": (neardup.p2_found, None),
     "p2_classes": (neardup.p2_classes, None),
+    "p2_groups": (neardup.p2_groups, None),
     "p3_found": (mojibake.p3_found, None),
     "p3_restored": (mojibake.p3_restored, None),
     "p5_found": (ocr.p5_found, None),

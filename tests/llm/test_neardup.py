@@ -78,3 +78,37 @@ def test_many_copies_are_paired_with_the_first(spark, tmp_path, monkeypatch):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/indexed_files.parquet")
     assert N.p2_found(spark, str(tmp_path)).count() == 0
+
+
+def test_crowded_band_of_one_text_and_its_copies(spark, monkeypatch):
+    # more members than a bucket takes, most of them copies: the few different texts are still compared
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, base, 1, "") for k in range(30)] + [(40 + k, base + f" t{k}", 1, "") for k in range(6)]
+    codes, members = N.coded(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = N.links(codes, P, Scratch(spark, "t"), 4).collect()
+    assert len({(r.a, r.b) for r in got}) == len(got) == 21  # all pairs of seven texts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    got = {r.node: r.root for r in N.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert {k: v for k, v in got.items() if k in want} == {k: v for k, v in want.items() if k in got} and set(got) == set(want)
+
+
+def test_groups(spark, tmp_path):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, base, 1, ""), (2, base + " tail", 1, ""), (9, base, 1, ""), (3, "nothing like it at all here", 1, ""), (7, None, 1, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/indexed_files.parquet")
+    assert {tuple(r) for r in N.p2_groups(spark, str(tmp_path)).collect()} == {(2, 2, 1), (5, 2, 1), (9, 2, 1), (3, 3, 0)}
