@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.session import spread, table
+from loam.session import Scratch, spread, table
 
 #: Consecutive words that make a leak.
 WINDOW = 12
-#: Windows of items in one automaton, about; more items make more automata, each scanned on its own.
-BLOCK_WINDOWS = 200_000
+#: Words of items in one automaton, about, a node of some 100 bytes each; more items make more automata, each scanned on its own.
+BLOCK_WORDS = 1_500_000
 
 #: A word: a maximal run of letters and digits.
 WORDS = re.compile(r"[^\W_]+")
@@ -27,62 +27,92 @@ def words(text: str) -> list[str]:
     return "\n".join(found).lower().split("\n") if found else []
 
 
-def automaton(items: list[tuple[int, str]], window: int = WINDOW) -> tuple[ahocorasick.Automaton, dict[str, int]]:
-    """All windows of the items as sequences of word numbers, each with the items that hold it; and the numbers of the words."""
-    numbers: dict[str, int] = {}
-    holders: dict[tuple[int, ...], set[int]] = {}
-    for item, text in items:
-        seq = [numbers.setdefault(w, len(numbers) + 1) for w in words(text)]
-        for i in range(len(seq) - window + 1):
-            holders.setdefault(tuple(seq[i : i + window]), set()).add(item)
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for seq, ids in holders.items():
-        found.add_word(seq, tuple(sorted(ids)))
-    if holders:
-        found.make_automaton()
-    return found, numbers
-
-
-def spans(text: str, found: ahocorasick.Automaton, numbers: dict[str, int], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the leaked passages as character offsets into the original text; overlapping windows are joined."""
-    at = [m.span() for m in WORDS.finditer(text)]
-    runs: dict[int, list[list[int]]] = {}
-    for end, ids in found.iter(tuple(numbers.get(w, 0) for w in words(text))):
-        first = end - window + 1
-        for item in ids:
-            mine = runs.setdefault(item, [])
-            if mine and first <= mine[-1][1]:
-                mine[-1][1] = end
-            else:
-                mine.append([first, end])
-    return [(item, at[a][0], at[b][1]) for item, mine in sorted(runs.items()) for a, b in mine]
+class Leaks:
+    """All items in one automaton, as sequences of word numbers.
+
+    A run of ``window`` words of an item holds at least one whole block of half as many words that begins at a multiple of that length, so
+    only those blocks are keys. A key that is found is grown to both sides along the item's words; runs of ``window`` words or more count.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+        self.window, self.size = window, (window + 1) // 2
+        self.numbers: dict[str, int] = {}
+        self.items: list[tuple[int, list[int]]] = []
+        keys: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, text in items:
+            found = words(text)
+            if len(found) < window:
+                continue
+            seq = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in found]
+            for i in range(0, len(seq) - self.size + 1, self.size):
+                keys.setdefault(tuple(seq[i : i + self.size]), []).append((len(self.items), i))
+            self.items.append((item, seq))
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for seq, places in keys.items():
+            self.found.add_word(seq, places)
+        if keys:
+            self.found.make_automaton()
+
+    def runs(self, text: str) -> dict[int, list[list[int]]]:
+        """The leaked runs of each item, as first and last word of the text; those that overlap are one."""
+        number = self.numbers.get
+        seq = tuple([number(w, 0) for w in words(text)])
+        grown: dict[int, set[tuple[int, int]]] = {}
+        ends: dict[tuple[int, int], int] = {}
+        for end, places in self.found.iter(seq):
+            for k, at in places:
+                item, own = self.items[k]
+                shift = end - self.size + 1 - at
+                if ends.get((k, shift), -1) >= end:
+                    continue  # within a run that is known
+                a, z = end - self.size + 1, end
+                while a > 0 and a - shift > 0 and seq[a - 1] == own[a - 1 - shift]:
+                    a -= 1
+                while z + 1 < len(seq) and z + 1 - shift < len(own) and seq[z + 1] == own[z + 1 - shift]:
+                    z += 1
+                ends[k, shift] = z
+                if z - a + 1 >= self.window:
+                    grown.setdefault(item, set()).add((a, z))
+        out: dict[int, list[list[int]]] = {}
+        for item, spans_ in sorted(grown.items()):
+            mine = out.setdefault(item, [])
+            for a, z in sorted(spans_):
+                if mine and a <= mine[-1][1]:
+                    mine[-1][1] = max(z, mine[-1][1])
+                else:
+                    mine.append([a, z])
+        return out
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, start, end) of the leaked passages as character offsets into the original text."""
+        if not self.items or not text or len(text) < 2 * self.window - 1 or not (runs := self.runs(text)):
+            return []
+        at = [m.span() for m in WORDS.finditer(text)]
+        return [(item, at[a][0], at[z][1]) for item, mine in runs.items() for a, z in mine]
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, start, length) of each passage of an item in a document, offsets in characters of the document's text.
 
     A passage is a run of at least ``window`` consecutive words of the item. Items and documents with null or shorter texts match
-    nothing; an item listed twice counts once. Items are taken in blocks of a bounded number of windows, drawn by a hash of their id, so
-    what a block ships to the executors is bounded; the corpus is scanned in its own partitions, once a block, without a shuffle.
+    nothing; an item listed twice counts once. Up to about BLOCK_WORDS words of items make one automaton and the corpus is scanned once, in its
+    own partitions, without a shuffle. More items are taken in blocks of that size, drawn by a hash of their id, with a scan for each, so
+    that what is shipped to the executors stays bounded.
     """
     whole = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
     size = whole.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + size // (6 * BLOCK_WINDOWS)
+    blocks = 1 + size // (6 * BLOCK_WORDS)
+    if blocks > 1:
+        whole = Scratch(items.sparkSession, "items").keep(whole.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))))
     out = None
     for k in range(blocks):
-        mine = [(r.item_id, r.text) for r in whole.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
+        mine = [(r.item_id, r.text) for r in (whole.where(F.col("block") == k) if blocks > 1 else whole).collect()]
         shared = docs.sparkSession.sparkContext.broadcast(mine)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found, numbers = automaton(shared.value, window)
+            found = Leaks(shared.value, window)
             for batch in batches:
-                rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if len(found) and text and len(text) >= 2 * window - 1:
-                        number = numbers.get
-                        seq = tuple([number(w, 0) for w in words(text)])
-                        if next(found.iter(seq), None):
-                            rows += [(doc, item, a, b - a) for item, a, b in spans(text, found, numbers, window)]
+                rows = [(doc, item, a, z - a) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item, a, z in found.spans(text)]
                 cols = list(zip(*rows)) if rows else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start", "length"])
 

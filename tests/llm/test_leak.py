@@ -35,7 +35,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
     windows = lambda t: {tuple(t.split()[j : j + 12]) for j in range(len(t.split()) - 11)}
     want = {(a, b) for a, t, _ in docs for b, u, _ in items if windows(t) & windows(u)}
     assert want and {tuple(r) for r in leak.leaks(d, i).select("doc_id", "item_id").collect()} == want
-    monkeypatch.setattr(leak, "BLOCK_WINDOWS", 200)
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 40)
     assert {tuple(r) for r in leak.leaks(d, i).select("doc_id", "item_id").collect()} == want
 
 
