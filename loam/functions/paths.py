@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -61,7 +62,7 @@ def kind_of(ext: Column) -> Column:
 
 def under(path: Column, root: str) -> Column:
     """Component-wise prefix test: the root itself or anything below it. Both parts are pushed to the scan."""
-    sep = "\\" if "\\" in root and "/" not in root else "/"
+    sep = "\\" if ("\\" in root and "/" not in root) or re.fullmatch("[A-Za-z]:", root) else "/"
     root = root.rstrip("/\\") or sep
     return (path == root) | path.startswith(root if root.endswith(sep) else root + sep)
 

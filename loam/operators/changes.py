@@ -157,6 +157,16 @@ def ancestors(path: Column) -> Column:
     return F.when(path.contains("\\"), chain("\\")).otherwise(chain("/"))
 
 
+def drained(changes: DataFrame, by: str) -> DataFrame:
+    """Coalesced changes with their ``position`` in the order in which a batch is handed over: by path."""
+    return changes.withColumn("position", F.row_number().over(W.partitionBy(by).orderBy("path")).cast("long"))
+
+
+def requeued(pending: DataFrame, failed: DataFrame) -> DataFrame:
+    """(path, op): pending changes and those of a batch that failed; an older change never replaces a newer one of its path."""
+    return pending.select("path", "op").unionByName(failed.select("path", "op").join(pending.select("path"), "path", "left_anti"))
+
+
 def reconcile(index: DataFrame, listing: DataFrame) -> DataFrame:
     """(path, change): what to do so that the index shows the listing. Stats are compared null-safely; unchanged files are left out."""
     a = index.where(F.col("path").isNotNull()).select("path", F.struct("mtime", "size").alias("_i")).dropDuplicates(["path"])

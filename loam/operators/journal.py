@@ -32,6 +32,16 @@ def decode(raw: bytes | None) -> dict | None:
     } | {k: bool(reason & b) for k, b in bits.items()}
 
 
+def encode(row: dict) -> bytes:
+    """A row as a binary record, of which ``decode`` makes the row again; what is null is 0, empty or not set."""
+    name = (row.get("name") or "").encode("utf-16-le")
+    bits = {"file_create": FILE_CREATE, "file_delete": FILE_DELETE, "rename_old_name": RENAME_OLD, "rename_new_name": RENAME_NEW}
+    reason = sum(b for k, b in bits.items() if row.get(k))
+    unsigned = lambda n: int(n or 0) % (1 << 64)
+    head = LAYOUT.pack(LAYOUT.size + len(name), 2, 0, unsigned(row["frn"]), unsigned(row.get("parent_frn")), int(row["usn"]), 0, reason, 0, 0, DIRECTORY if row.get("is_dir") else 0, len(name), LAYOUT.size)
+    return head + name
+
+
 def decoded(raw: DataFrame, column: str = "record") -> DataFrame:
     """Rows of all decodable records of a binary column."""
 

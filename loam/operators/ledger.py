@@ -330,3 +330,19 @@ def cursor_usable(cursor: dict | str | None, journal_id: int, lowest_valid_usn:
     if isinstance(cursor, str):
         cursor = json.loads(cursor)
     return bool(cursor) and cursor.get("journal_id") == journal_id and (cursor.get("next_usn") or 0) >= lowest_valid_usn
+
+
+def usable(next_usn: Column, journal_id: Column, present_id: Column, lowest_valid_usn: Column) -> Column:
+    """``cursor_usable`` over columns; never null."""
+    return F.coalesce((journal_id == present_id) & (next_usn >= lowest_valid_usn), F.lit(False))
+
+
+def safe_cursors(runs: DataFrame) -> DataFrame:
+    """(volume, journal_id, safe): how far each journal may be taken as done, from (volume, journal_id, run_id, next_usn, done).
+
+    Cursors advance in the order of the runs and never past one that hasn't been committed; null where the first run hasn't.
+    """
+    first = runs.groupBy("volume", "journal_id").agg(F.min(F.when(~F.coalesce("done", F.lit(False)), F.col("run_id"))).alias("_open"))
+    whole = small_join(runs, first, ["volume", "journal_id"], "inner", null_safe=True)
+    settled = F.col("done") & (F.col("_open").isNull() | (F.col("run_id") < F.col("_open")))
+    return whole.groupBy("volume", "journal_id").agg(F.max(F.when(settled, F.col("next_usn"))).alias("safe"))

@@ -210,3 +210,32 @@ class Lexicon:
 def size_on_disk(spark: SparkSession, segment: Segment, part: str) -> int:
     folder = Folder(spark, segment.root)
     return folder.fs.getContentSummary(folder.path(part)).getLength() if folder.exists(part) else 0
+
+
+def document_frequencies(reader: Reader, field: str) -> DataFrame:
+    """(term, df, cf): in how many files each term stands and how often in all."""
+    rows = reader.postings().where((F.col("term") != "") & (F.col("field") == field))
+    return rows.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("cf").alias("cf"))
+
+
+def postings_of(reader: Reader, field: str, key: str) -> DataFrame:
+    """(term, key, tf, first_pos, last_pos) of a field, a row for each term of each file: the index unpacked, for inspection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            numbers = lambda name, i: batch.column(name)[i].values.to_numpy(zero_copy_only=False).astype("int64")  # noqa: E731, B023
+            for i, term in enumerate(batch.column("term").to_pylist()):
+                docs, tfs, gaps = np.cumsum(numbers("docs", i)), numbers("tfs", i), numbers("positions", i)
+                starts = np.cumsum(tfs) - tfs
+                sums = np.cumsum(gaps)
+                before = np.where(starts > 0, sums[starts - 1], 0)
+                for column, values in zip(out, ([term] * len(docs), np.full(len(docs), batch.column("part")[i].as_py()), docs, tfs, gaps[starts], sums[starts + tfs - 1] - before)):
+                    column.append(np.asarray(values))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds)], names=["term", "part", "place", "tf", "first_pos", "last_pos"])
+
+    rows = reader.postings().where((F.col("term") != "") & (F.col("field") == field)).select("term", "part", "docs", "tfs", "positions")
+    flat = rows.mapInArrow(run, "term string, part long, place long, tf long, first_pos long, last_pos long")
+    places = reader.parts().select("part", F.posexplode("ids").alias("place", "doc")).withColumn("place", F.col("place").cast("long"))
+    return flat.join(places, ["part", "place"]).join(reader.files().select("doc", key), "doc").select("term", key, "tf", "first_pos", "last_pos")

@@ -12,7 +12,7 @@ from loam.functions import text as X
 from loam.operators import changes as C
 from loam.operators import hierarchy, journal, ledger, replay
 from loam.operators.ledger import latest
-from loam.plans import postings, segment
+from loam.plans import segment
 from loam.plans import search as S
 from loam.plans.searcher import Searcher
 from loam.session import Scratch, table
@@ -174,15 +174,16 @@ def count_under_root(spark: SparkSession, d: str) -> DataFrame:
 
 @query("term_df", f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM hay) GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    return postings.document_frequencies(S.documents_as_files(spark, d, apart=True).withColumn("path", F.col("doc_id")))
+    return segment.document_frequencies(index_of(spark, d).readers[0], "content")
 
 
 @query("corpus_stats", f"WITH {TOKENS} SELECT count(*) AS n, round(avg(len(t)), 6) AS mean_length, CAST(sum(len(t)) AS BIGINT) AS tokens, CAST(max(len(t)) AS BIGINT) AS longest FROM hay")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    size = F.size(X.tokens(F.col("content")))
-    return S.documents_as_files(spark, d).select(size.alias("s")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean_length"), F.sum("s").alias("tokens"), F.max("s").cast("long").alias("longest")
-    )
+    reader = index_of(spark, d)
+    st = reader.stats([], ("content",))
+    longest = reader.readers[0].parts().agg(F.max(F.array_max("tfs"))).first()[0] or 0
+    row = {"n": st.n, "mean_length": round(st.mean["content"], 6), "tokens": reader.segments[0].content, "longest": longest}
+    return rows_of(spark, [row], "n long, mean_length double, tokens long, longest long")
 
 
 @query(
@@ -190,8 +191,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {TOKENS}, x AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM hay) SELECT term, doc_id, count(*) AS tf, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos FROM x GROUP BY ALL",
 )
 def postings_index(spark: SparkSession, d: str) -> DataFrame:
-    index = postings.postings(S.documents_as_files(spark, d, apart=True).withColumn("path", F.col("doc_id")), ("content",))
-    return index.select("term", F.col("path").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
+    return segment.postings_of(index_of(spark, d).readers[0], "content", "doc_id")
 
 
 @query(
@@ -413,7 +413,9 @@ def rename_pairing(spark: SparkSession, d: str) -> DataFrame:
 def cursor_validity(spark: SparkSession, d: str) -> DataFrame:
     lowest = table(spark, d, "usn_journal").where("usn IS NOT NULL").groupBy("volume", "journal_id").agg(F.min("usn").alias("lowest"))
     cursors = table(spark, d, "usn_cursors").select("volume", "journal_id", "next_usn").distinct()
-    return cursors.join(lowest, ["volume", "journal_id"], "left").select("volume", "journal_id", "next_usn", F.coalesce(F.col("next_usn") >= F.col("lowest"), F.lit(False)).alias("usable"))
+    joined = cursors.join(lowest, ["volume", "journal_id"], "left")
+    usable = ledger.usable(F.col("next_usn"), F.col("journal_id"), F.when(F.col("lowest").isNotNull(), F.col("journal_id")), F.col("lowest"))
+    return joined.select("volume", "journal_id", "next_usn", usable.alias("usable"))
 
 
 REGISTRY |= {
@@ -427,3 +429,5 @@ REGISTRY |= {
     "p7_intervals": (hierarchy.p7_intervals, None),
     "p7_descendant_pairs": (hierarchy.p7_descendant_pairs, hierarchy.P7_DESCENDANT_PAIRS_SQL),
 }
+
+import loam.queries_more  # noqa: E402, F401
