@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loam.session import Scratch, small_join
+
 # Bits of a record's reason, and the layout of a version 2 record (60 bytes, then the name in UTF-16).
 FILE_CREATE, FILE_DELETE, RENAME_OLD, RENAME_NEW, DIRECTORY = 0x100, 0x200, 0x1000, 0x2000, 0x10
 LAYOUT = struct.Struct("<IHHQQqqIIIIHH")
@@ -113,6 +115,79 @@ class Translator:
         return [x for r in records for x in self.one(r)]
 
 
+FLAGS = ("file_create", "file_delete", "rename_old_name", "rename_new_name")
+
+
+def _versions(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """(volume, frn, since, until, parent, name, is_dir): each place an entry has had and when, in half steps: a record's effect begins at twice its usn.
+
+    A deletion ends the present place. The record of an old name gives a place only to an entry that has none.
+    """
+    known = entries.where(F.col("frn").isNotNull()).select("volume", "frn", F.lit(-2).cast("long").alias("since"), F.col("parent_frn").alias("parent"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"), F.lit("set").alias("action"))
+    action = F.when(F.col("file_delete"), "gone").when(F.col("rename_old_name"), "weak").otherwise("set")
+    made = records.select("volume", "frn", (F.col("usn") * 2).alias("since"), F.col("parent_frn").alias("parent"), F.coalesce("name", F.lit("")).alias("name"), "is_dir", action.alias("action"))
+    order = W.partitionBy("volume", "frn").orderBy("since")
+    before = F.lag("action").over(order)
+    kept = known.unionByName(made).withColumn("_before", before).where((F.col("action") != "weak") | F.col("_before").isNull() | (F.col("_before") == "gone"))
+    return kept.withColumn("until", F.lead("since").over(order)).where(F.col("action") != "gone").drop("action", "_before")
+
+
+def paths_at(asked: DataFrame, versions: DataFrame, anchors: DataFrame, scratch: Scratch, most: int = 512) -> DataFrame:
+    """(key, path) of asked (key, volume, at, t, tail): the path of an entry at a time, with ``tail`` below it; none where the chain of parents
+    doesn't reach an anchor. One round a level for all rows at once; rows that are through, or have no parent, drop out. A row on a loop meets the
+    entry that it was at when the number of rounds last was a power of two, and drops out then."""
+    tops = anchors.where(F.col("frn").isNotNull()).groupBy("volume", F.col("frn").alias("at")).agg(F.max("root_path").alias("root_path"))
+    active, done = asked.withColumn("start", F.col("at")), None
+    for n in range(1, most + 1):
+        marked = scratch.keep(small_join(active, tops, ["volume", "at"]))
+        through = marked.where(F.col("root_path").isNotNull()).select("key", F.when(F.col("tail") == "", F.col("root_path")).otherwise(F.concat_ws("\\", "root_path", "tail")).alias("path"))
+        done = through if done is None else done.unionByName(through)
+        left = marked.where(F.col("root_path").isNull()).drop("root_path")
+        if left.isEmpty():
+            break
+        v = versions.select(F.col("volume").alias("_v"), F.col("frn").alias("_f"), "since", "until", "parent", "name")
+        fits = (F.col("volume") == F.col("_v")) & (F.col("at") == F.col("_f")) & (F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("until") > F.col("t")))
+        up = left.join(v, fits).where(F.col("parent").isNotNull() & (F.col("parent") != F.col("start")))
+        active = up.select("key", "volume", F.col("parent").alias("at"), "t", F.when(F.col("tail") == "", F.col("name")).otherwise(F.concat_ws("\\", "name", "tail")).alias("tail"), F.col("parent").alias("start") if n & (n - 1) == 0 else F.col("start"))
+    return done
+
+
+def translated(journal: DataFrame, entries: DataFrame, anchors: DataFrame, scratch: Scratch) -> DataFrame:
+    """(volume, seq, op, path): file operations of journal records, as ``Translator`` gives them record by record, for all volumes at once.
+
+    ``entries`` is the tree before the first record, ``anchors`` the registered roots; records outside their trees give nothing. The tree at each
+    record is a table of versions, so records need no single reader; of a rename the removal comes before the upsert (seq is twice the usn,
+    and one more). Repeated deliveries count once; rows without usn or frn don't count.
+    """
+    flag = lambda n: F.coalesce(F.max(F.coalesce(F.col(f"reason.{n}"), F.lit(False)).cast("int")), F.lit(0)).cast("boolean").alias(n)
+    rows = journal.where(F.col("usn").isNotNull() & F.col("frn").isNotNull()).groupBy("volume", "usn", "frn")
+    records = scratch.keep(rows.agg(F.max("parent_frn").alias("parent_frn"), F.max("name").alias("name"), F.coalesce(F.max("is_dir"), F.lit(False)).alias("is_dir"), *map(flag, FLAGS)).withColumn("id", F.monotonically_increasing_id()))
+    versions = scratch.keep(_versions(records, entries))
+    gone, old, new = F.col("file_delete"), ~F.col("file_delete") & F.col("rename_old_name"), ~F.col("file_delete") & ~F.col("rename_old_name") & F.col("rename_new_name")
+    # three questions a record at most: where it is after the record; for deletions where it was, and where the record's own place is
+    after = records.where(~gone).select((F.col("id") * 4).alias("key"), "volume", F.col("frn").alias("at"), (F.col("usn") * 2).alias("t"), F.lit("").alias("tail"))
+    before = records.where(gone).select((F.col("id") * 4 + 1).alias("key"), "volume", F.col("frn").alias("at"), (F.col("usn") * 2 - 1).alias("t"), F.lit("").alias("tail"))
+    own = records.where(gone & F.col("parent_frn").isNotNull()).select((F.col("id") * 4 + 2).alias("key"), "volume", F.col("parent_frn").alias("at"), (F.col("usn") * 2 - 1).alias("t"), F.coalesce("name", F.lit("")).alias("tail"))
+    found = scratch.keep(paths_at(after.unionByName(before).unionByName(own), versions, anchors, scratch))
+    named = found.groupBy(F.floor(F.col("key") / 4).alias("id")).agg(*[F.max(F.when(F.col("key") % 4 == k, F.col("path"))).alias(n) for k, n in ((0, "after"), (1, "before"), (2, "own"))])
+    whole = records.join(named, "id", "left")
+    order = W.partitionBy("volume", "frn").orderBy("usn")
+    # an old name waits for the next record that settles it
+    turn = F.when(gone | old | new | F.col("file_create"), F.struct(old.alias("waits"), F.col("after").alias("path")))
+    last = F.last(turn, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    settled = whole.withColumn("_last", last).withColumn("pending", F.when(F.col("_last.waits"), F.col("_last.path")))
+    was_dir = versions.select("volume", "frn", F.col("until").alias("_until"), F.col("is_dir").alias("_was"))
+    settled = settled.join(was_dir.where(F.col("_until").isNotNull()).withColumn("usn", F.floor(F.col("_until") / 2)).drop("_until"), ["volume", "frn", "usn"], "left")
+    tree = lambda op, is_dir: F.when(is_dir, op + "_tree").otherwise(op)
+    removed = F.when(gone, F.coalesce("pending", "before", "own")).when(new & ~F.col("pending").eqNullSafe(F.col("after")), F.col("pending"))
+    added = F.when(new & F.col("pending").eqNullSafe(F.col("after")), None).when(~gone & ~old, F.col("after"))
+    both = F.array(
+        F.struct((F.col("usn") * 2).alias("seq"), tree("remove", F.when(gone, F.coalesce("_was", "is_dir")).otherwise(F.col("is_dir"))).alias("op"), removed.alias("path")),
+        F.struct((F.col("usn") * 2 + 1).alias("seq"), tree("upsert", F.col("is_dir")).alias("op"), added.alias("path")),
+    )
+    return settled.select("volume", F.explode(both).alias("x")).select("volume", "x.*").where(F.col("path").isNotNull())
+
+
 def rename_pairs(journal: DataFrame) -> DataFrame:
     """(volume, frn, old_usn, new_usn, old_name, new_name): each old-name record with the next rename record of its file, if that has the new name.
 

@@ -1,4 +1,9 @@
+import random
+
+import pytest
+
 from loam.operators import journal as J
+from loam.session import Scratch
 
 ROOT, SEP = 1, "\\"
 
@@ -54,3 +59,24 @@ def test_cursor_follows_commits_in_order():
     c = J.CursorTracker(10)
     a, b = c.receive(20), c.receive(30)
     assert c.commit(b) == 10 and c.commit(a) == 30
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_translated_tables_equal_the_reader(spark, seed):
+    rng = random.Random(seed)
+    roots = {1: "C:\\r", 2: "C:\\s"}
+    entries = {k: (rng.choice([1, 2, 99, 10, 11]), f"e{k}", k % 3 == 0) for k in range(10, 20)}
+    entries[10], entries[11] = (1, "a", True), (10, "b", True)
+    records = []
+    for n in range(50):
+        frn = rng.randrange(10, 26)
+        kind = rng.choice(["file_create", "file_delete", "rename_old_name", "rename_new_name", ""])
+        records.append({"usn": 100 + n, "frn": frn, "parent_frn": rng.choice([1, 2, 99, 10, 11, 12]), "name": f"n{n}", "is_dir": frn % 3 == 0} | {k: k == kind for k in J.FLAGS})
+    reader = J.Translator(dict(roots), dict(entries))
+    want = [(r["usn"], op, path) for r in records for op, path in reader.one(r)]
+    rows = [("C:", r["usn"], r["frn"], r["parent_frn"], r["name"], r["is_dir"], tuple(r[k] for k in J.FLAGS)) for r in records]
+    frame = spark.createDataFrame(rows + rows[:5], "volume string, usn long, frn long, parent_frn long, name string, is_dir boolean, reason struct<file_create:boolean,file_delete:boolean,rename_old_name:boolean,rename_new_name:boolean>")
+    tree = spark.createDataFrame([("C:", k, *v) for k, v in entries.items()], "volume string, frn long, parent_frn long, name string, is_dir boolean")
+    anchors = spark.createDataFrame([("C:", k, v) for k, v in roots.items()], "volume string, frn long, root_path string")
+    got = J.translated(frame, tree, anchors, Scratch(spark, "t")).orderBy("seq").collect()
+    assert [(r.seq // 2, r.op, r.path) for r in got] == want
