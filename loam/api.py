@@ -67,6 +67,30 @@ class Tools:
             return failure("index_unavailable", str(e))
 
 
+class Commands(Tools):
+    """What a front end offers beside the tools: what is under way, and changes of roots and rules."""
+
+    def indexing_status(self) -> dict:
+        """(state, total, done): ``recognising`` while images wait, else ``idle``."""
+        progress = self.index.queue.progress()
+        return {"state": "recognising" if progress["done"] < progress["total"] else "idle"} | progress
+
+    def get_rules(self) -> dict:
+        return self.index.store.rules()
+
+    def set_rules(self, **changes) -> dict:
+        return self.index.store.set_rules(**changes)
+
+    def rebuild_index(self, root: str) -> dict:
+        return self.index.build(root)
+
+    def add_root(self, root: str) -> dict:
+        try:
+            return self.index.add(root)
+        except StoreError as e:
+            return failure("root_refused", str(e))
+
+
 def clean_exts(text: str | None) -> list[str]:
     """Extensions from a comma-separated list: trimmed, in lower case, without empty ones."""
     return [e.strip().lower() for e in (text or "").split(",") if e.strip()]

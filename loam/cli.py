@@ -1,4 +1,4 @@
-"""Command line: index, add, remove, search, preview, status, rules and reconcile."""
+"""Command line: index, add, remove, rebuild, search, preview, status, rules, reconcile, ocr, watch and the tool server."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from loam.api import clean_exts
+from loam.api import Tools, clean_exts
 from loam.functions.paths import ext_group
 from loam.functions.snippet import wrap
 from loam.manage import Index, to_json
 from loam.plans import search as S
 from loam.plans.qlang import QueryError
+from loam.server import Server
 from loam.session import ship
 from loam.sources.store import StoreError
+from loam.streaming.catchup import watch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,8 +34,11 @@ def parser() -> argparse.ArgumentParser:
     preview = sub.add_parser("preview")
     preview.add_argument("path")
     preview.add_argument("query", nargs="?", default="")
-    for name in ("status", "reconcile"):
+    for name in ("status", "reconcile", "ocr", "mcp"):
         sub.add_parser(name)
+    watching = sub.add_parser("watch")
+    watching.add_argument("--seconds", type=float, help="how long; without it until interrupted")
+    watching.add_argument("--interval", type=float, default=2.0)
     rules = sub.add_parser("rules").add_subparsers(dest="action", required=True)
     rules.add_parser("show")
     change = rules.add_parser("set")
@@ -70,6 +75,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(to_json(index.status()))
         elif args.command == "reconcile":
             print(to_json(index.reconcile()))
+        elif args.command == "ocr":
+            print(to_json(index.recognise_images()))
+        elif args.command == "watch":
+            watch(index, args.seconds, args.interval, lambda counts: print(to_json(counts)))
+        elif args.command == "mcp":
+            Server(Tools(spark, args.index)).serve()
         elif args.command == "rules":
             if args.action == "set":
                 index.store.set_rules(exclude_dirs=args.exclude_dirs, extra_text_exts=args.extra_text_exts, max_file_mb=args.max_file_mb)

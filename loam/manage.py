@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,13 @@ OPS = "path string, op string"
 
 
 def clean_root(root: str) -> str:
-    return root.rstrip("/\\") or root
+    """A root as it is stored: of a local path the longest ancestor that exists is resolved, links and dots included; others only lose a last separator."""
+    root = root.rstrip("/\\") or root
+    if "://" in root or not root.startswith(("/", ".", "~")):
+        return root
+    path = Path(root).expanduser().absolute()
+    there = next((p for p in (path, *path.parents) if p.exists()), path)
+    return str(there.resolve() / path.relative_to(there))
 
 
 class Index:

@@ -204,9 +204,10 @@ class Store:
             return None
         return {"id": name, "lost": lost}
 
-    def merge(self, keep: int = FAN // 2) -> None:
-        """Merges all but the ``keep`` largest segments into one, without the deleted files. A file is so rewritten a few times at most, however many
-        changes come after it."""
+    def merge(self, keep: int | None = None) -> None:
+        """Merges all but the ``keep`` largest segments (half of FAN) into one, without the deleted files. A file is so rewritten a few times at most,
+        however many changes come after it."""
+        keep = FAN // 2 if keep is None else keep
         meta = self.meta()
         order = sorted(meta["segments"], key=lambda s: s["n"], reverse=True)
         small = [s["id"] for s in order[keep:]]
