@@ -136,9 +136,10 @@ def apply_changes(index: DataFrame, changes: DataFrame, listing: DataFrame) -> D
 
 
 def below(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """The files at or below the paths of ``roots``, one a path."""
+    """The files at or below the paths of ``roots``, one a path. Only paths are multiplied by their ancestors; rows are fetched for those that lie below."""
     tops = roots.select(F.col("path").alias("_root")).distinct()
-    return files.withColumn("_root", F.explode(ancestors(F.col("path")))).join(tops, "_root", "left_semi").drop("_root").dropDuplicates(["path"])
+    hits = files.select("path", F.explode(ancestors(F.col("path"))).alias("_root")).join(tops, "_root", "left_semi").select("path").distinct()
+    return files.join(hits, "path", "left_semi").dropDuplicates(["path"])
 
 
 def rows_for(listing: DataFrame, changes: DataFrame) -> DataFrame:
