@@ -23,7 +23,8 @@ class Feed:
     ``stream``: columns that name an independent sequence (a volume). ``seq``: the sequence number within it. ``key``: columns of
     the entity. ``deleted``: a boolean column expression that is never null. ``stride``: the distance between neighbouring sequence
     numbers of a feed without gaps. ``txn``: column of a transaction's name, or None if each record is one of its own. ``parts``:
-    column with the number of records of the transaction.
+    column with the number of records of the transaction. ``first``: the number that every stream begins with; where it isn't known a
+    stream begins with the lowest number received, so a feed that is read in several runs should name it.
     """
 
     stream: tuple[str, ...]
@@ -33,6 +34,7 @@ class Feed:
     stride: int = 1
     txn: str | None = None
     parts: str | None = None
+    first: int | None = None
 
 
 def records(changes: DataFrame, feed: Feed, *keep: str) -> DataFrame:
@@ -76,6 +78,14 @@ def watermarks(seqs: DataFrame, feed: Feed) -> DataFrame:
     return ends.groupBy(*on).agg(F.min("_first").alias("low"), F.coalesce(first_gap, F.max("_last")).alias("watermark"), F.max("_last").alias("high"))
 
 
+def anchored(seqs: DataFrame, feed: Feed) -> DataFrame:
+    """The numbers of each stream and, where the feed names its first one, the one before that, so that a missing beginning is a gap."""
+    if feed.first is None:
+        return seqs.select(*feed.stream, feed.seq)
+    before = seqs.select(*feed.stream).distinct().withColumn(feed.seq, F.lit(feed.first - feed.stride).cast("long"))
+    return seqs.select(*feed.stream, feed.seq).unionByName(before)
+
+
 def closing(changes: DataFrame, feed: Feed) -> DataFrame:
     """End-of-feed events (stream, end) for a feed that is known to be over: nothing up to its highest number is still to come."""
     return changes.where(F.col(feed.seq).isNotNull()).groupBy(*feed.stream).agg(F.max(feed.seq).alias("end"))
@@ -88,7 +98,7 @@ def released(changes: DataFrame, feed: Feed, *carry: str, ends: DataFrame | None
     transaction.
     """
     whole = commits(records(changes, feed, *dict.fromkeys([*carry, *([feed.parts] if feed.parts else [])])), feed)
-    marks = watermarks(changes.where(F.col(feed.seq).isNotNull()), feed).select(*feed.stream, "watermark")
+    marks = watermarks(anchored(changes.where(F.col(feed.seq).isNotNull()), feed), feed).select(*feed.stream, "watermark")
     if ends is not None:
         marks = marks.unionByName(ends.select(*feed.stream, F.col("end").alias("watermark"))).groupBy(*feed.stream).agg(F.max("watermark").alias("watermark"))
     return small_join(whole, marks, list(feed.stream), "inner", null_safe=True).where(F.col("_commit") <= F.col("watermark")).drop("watermark")
@@ -150,8 +160,12 @@ class Replica:
         write(fresh, "seen")
         fresh = self.spark.read.parquet(f"{self.root}/{folder}/seen")
         numbers = fresh.select(*stream, feed.seq)
-        if old is not None:  # a stream goes on from its watermark, not from the least of the new numbers
-            numbers = small_join(numbers, old.select(*stream, F.col("watermark").alias("_w")), stream, null_safe=True).where(F.col("_w").isNull() | (F.col(feed.seq) > F.col("_w"))).drop("_w").unionByName(old.select(*stream, F.col("watermark").alias(feed.seq)))
+        if old is None:
+            numbers = anchored(numbers, feed)
+        else:  # a stream goes on from its watermark, not from the least of the new numbers
+            placed = small_join(numbers, old.select(*stream, F.col("watermark").alias("_w")), stream, null_safe=True)
+            begun = anchored(placed.where(F.col("_w").isNull()), feed)
+            numbers = placed.where(F.col(feed.seq) > F.col("_w")).select(*stream, feed.seq).unionByName(begun).unionByName(old.select(*stream, F.col("watermark").alias(feed.seq)))
         marks = watermarks(numbers, feed).select(*stream, "watermark")
         if ends is not None:
             marks = marks.unionByName(ends.select(*stream, F.col("end").alias("watermark"))).groupBy(*stream).agg(F.max("watermark").alias("watermark"))

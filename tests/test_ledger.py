@@ -77,3 +77,46 @@ def test_small_join_beyond_the_bound_is_salted(spark):
 def test_cursor_usable():
     assert L.cursor_usable('{"journal_id": 1, "next_usn": 5}', 1, 5)
     assert not L.cursor_usable({"journal_id": 1, "next_usn": 4}, 1, 5) and not L.cursor_usable(None, 1, 0) and not L.cursor_usable({"journal_id": 2, "next_usn": 9}, 1, 0)
+
+
+def test_stale_writer_never_touches_the_winners_output(spark, tmp_path):
+    book, clock = make(spark, tmp_path)
+    (unit, old), = book.lease(100, 1)
+    clock.now = 101
+    new = dict(book.lease(100, 5))[unit]
+    assert book.process(unit, new, spark.range(2))
+    assert not book.process(unit, old, spark.range(7))  # it wrote, but beside the winner
+    assert book.results().count() == 2 and states(book)[unit] == "done"
+
+
+def test_two_coordinators_never_get_one_token(spark, tmp_path):
+    book, clock = make(spark, tmp_path)
+    other = L.WorkLedger(spark, book.root, clock)
+    mine = book.lease(10_000_000, 1)
+    assert other.folder.claim(f"claims/{other._key('b')}/1")  # the other one is about to lease b
+    assert [u for u, _ in book.lease(10_000_000, 5)] == [] and mine == [("a", 1)]
+
+
+def test_long_names_and_compaction(spark, tmp_path):
+    book, clock = make(spark, tmp_path)
+    name = "x" * 400
+    book.enqueue(spark.createDataFrame([(name, [1, 1])], "unit string, version array<long>"))
+    taken = dict(book.lease(100, 9))
+    assert book.process(name, taken[name], spark.range(1)) and book.commit("a", taken["a"], upto=50)
+    before = {tuple(map(str, r)) for r in L.fold(book.events()).collect()}
+    book.compact()
+    assert {tuple(map(str, r)) for r in L.fold(book.events()).collect()} == before and book.results().count() == 1
+    book.enqueue(spark.createDataFrame([(name, 5, [2, 1])], "unit string, token long, version array<long>"))
+    assert name in {r.unit for r in L.claimable(book.events(), 0).collect()}  # a new version is work again
+
+
+def test_leases_hold_and_expire_in_the_cursor_table(spark):
+    journal = spark.createDataFrame([("C:", 1, 10), ("C:", 1, 20), ("D:", 2, 5)], "volume string, journal_id long, usn long")
+    cursors = spark.createDataFrame([(1, "C:", 1, 15, "committed", 0), (2, "C:", 1, None, "running", 1000), (1, "D:", 2, 9, "failed", 0)], "run_id long, volume string, journal_id long, next_usn long, run_status string, started_at long").withColumn("started_at", F.timestamp_seconds("started_at"))
+    at = lambda now: {tuple(r) for r in L.journal_items(journal, L.fold(L.cursor_events(cursors)), now).collect()}
+    assert at(1_000_000) == {("D:", 5)} and at(L.takeover(cursors)) == {("C:", 20), ("D:", 5)}
+
+
+def test_safe_cursors(spark):
+    runs = spark.createDataFrame([("C:", 1, 1, 10, True), ("C:", 1, 2, 20, True), ("C:", 1, 3, 30, False), ("C:", 1, 4, 40, True), (None, 1, 1, 5, False)], "volume string, journal_id long, run_id long, next_usn long, done boolean")
+    assert {(r.volume, r.safe) for r in L.safe_cursors(runs).collect()} == {("C:", 20), (None, None)}

@@ -1,3 +1,7 @@
+import random
+from dataclasses import replace
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -62,3 +66,34 @@ def test_watermark_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK", 4)
     data = [("a", s, 1, False, None, None, "") for s in [*range(1, 23), *range(25, 31)]] + [("b", s, 1, False, None, None, "") for s in range(3, 40)]
     assert {tuple(r) for r in R.watermarks(rows(spark, data), feed()).collect()} == {("a", 1, 22, 30), ("b", 3, 39, 39)}
+
+
+@pytest.mark.parametrize("with_txn", [False, True])
+def test_replica_over_many_runs_equals_one_replay(spark, tmp_path, with_txn):
+    rng = random.Random(5)
+    data = []
+    for s in ("a", None):
+        for seq in range(1, 25):
+            if seq != 17:  # a gap that is filled in the last run
+                data.append((s, seq, rng.randrange(4), rng.random() < 0.3, f"t{(seq + 1) // 2}", 2, f"v{seq}"))
+    rng.shuffle(data)
+    missing = [(s, 17, 1, False, "t9", 2, "v17") for s in ("a", None)]
+    runs = [data[:20], data[15:40], data[40:] + data[:3], missing]
+    f = replace(feed(with_txn), first=1)
+    replica = R.Replica(spark, f"file://{tmp_path}/r", f, "v")
+    so_far = []
+    for run in runs:
+        so_far += run
+        replica.apply(rows(spark, run))
+        want = {tuple(r) for r in R.state(rows(spark, so_far), f, "v").collect()} if run is runs[-1] else None
+        got = {tuple(r) for r in replica.table().collect()}
+        assert want is None or got == want
+    assert replica.apply(rows(spark, runs[0])) == 5 and {tuple(r) for r in replica.table().collect()} == want  # known records change nothing
+
+
+def test_end_of_feed_lifts_the_watermark(spark, tmp_path):
+    replica = R.Replica(spark, f"file://{tmp_path}/r", feed())
+    replica.apply(rows(spark, [("a", 1, 1, False, None, None, ""), ("a", 3, 2, False, None, None, "")]))
+    assert {r.k for r in replica.table().collect()} == {1}
+    replica.apply(rows(spark, []), spark.createDataFrame([("a", 3)], "s string, end long"))
+    assert {r.k for r in replica.table().collect()} == {1, 2}
