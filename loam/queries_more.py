@@ -18,6 +18,7 @@ from loam.plans import segment
 from loam.plans.searcher import Searcher
 from loam.queries import _LATEST, FILES, TOKENS, _list, has, index_of, query, rows_of, stored_and_listed
 from loam.session import Scratch, table
+from loam.sources.extract import scan
 from loam.sources.images import ImageQueue
 from loam.sources.store import Store
 
@@ -135,6 +136,17 @@ def name_segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "indexed_files").where(F.col("name").isNotNull()).select("name").distinct().select("name", F.explode(parts("name")).alias("part")).distinct()
 
 
+#: A small dictionary for segmenting.
+_WORDS = ("会议纪要", "会议", "采购清单", "清单", "读书笔记", "笔记", "文件列表", "文件", "排序阶段", "报销单")
+
+
+@query("cjk_segments", f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '({'|'.join(sorted(_WORDS, key=lambda w: (-len(w), w)))}|{_TOKEN[1:]}')) AS term FROM documents WHERE text IS NOT NULL) SELECT doc_id, term, count(*) AS n FROM t WHERE length(term) > 1 AND regexp_matches(term, '[\\x{{4E00}}-\\x{{9FFF}}]') GROUP BY ALL")
+def cjk_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary's words in each document, and how often they stand there as segments of their own."""
+    terms = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.explode(X.segmented(F.col("text"), list(_WORDS))).alias("term"))
+    return terms.where((F.length("term") > 1) & F.col("term").rlike(r"[\x{4E00}-\x{9FFF}]")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Snippets and previews
 
 
@@ -321,3 +333,9 @@ def bootstrap_decision(spark: SparkSession, d: str) -> DataFrame:
     cursors = table(spark, d, "usn_cursors").select("volume", "journal_id", "next_usn").distinct().join(lowest, ["volume", "journal_id"], "left")
     usable = ledger.usable(F.col("next_usn"), F.col("journal_id"), F.when(F.col("lowest").isNotNull(), F.col("journal_id")), F.col("lowest"))
     return cursors.select("volume", "journal_id", "next_usn", F.when(usable, "replay").otherwise("reconcile").alias("how"))
+
+
+@query("listed_files")
+def listed_files(spark: SparkSession, d: str) -> DataFrame:
+    """What lies below the data directory itself, as the index lists a root."""
+    return scan(spark, d).select("relative", "name", "ext", "size")
