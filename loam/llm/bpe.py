@@ -79,6 +79,8 @@ class Encoder(dict):
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.ids = {raw(s): i for s, i in model["vocab"].items()}
+        if max(self.ids.values()) >= 1 << 16:
+            raise ValueError("pairs of ids are kept as two 16-bit numbers; this vocabulary has larger ids")
         self.sizes = [0] * (1 + max(self.ids.values()))
         for b, i in self.ids.items():
             self.sizes[i] = len(b)

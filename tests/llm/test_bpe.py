@@ -53,3 +53,10 @@ def test_table(spark, both):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(rows, VOCABULARY), VOCABULARY).collect()}
     assert back == {1: "hello world", 2: "", 3: "", 4: "hello world"}
     assert bpe.encode(rows.limit(0), VOCABULARY).count() == 0
+
+
+def test_larger_vocabularies_are_refused():
+    import json
+
+    with pytest.raises(ValueError):
+        bpe.Encoder(json.dumps({"model": {"vocab": {"a": 0, "b": 70_000}, "merges": []}}))
