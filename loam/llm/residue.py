@@ -33,6 +33,10 @@ LEARNED, LEAST, SHARE = 5_000, 2, 0.6
 ROUNDS = 1
 #: Names of placeholders that are learned at most (those of most documents).
 NAMES_LEARNED = 2_000
+#: Characters of keys that a worker counts before it hands the counts on.
+HELD = 8_000_000
+#: Bytes of texts, about, that a worker takes out of a batch at once, and characters of a long text that it cuts to words or passages at once.
+TAKEN, PIECE = 4_000_000, 500_000
 
 # Labelled exemplars, general ones in the corpus's languages. A passage has to hold one sentence.
 SEEDS = {
@@ -205,15 +209,24 @@ def window_terms(strict: bool, name: str, known: frozenset[str]) -> list[str]:
 ENDS = re.compile(r"[\n.!?。！？]")
 
 
-def stretch_start(low: str, at: int) -> int:
-    """Where the stretch around a place begins."""
-    return 1 + max(low.rfind(c, 0, at) for c in "\n.!?。！？")
+def stretch_start(low: str, at: int, least: int = 0) -> int:
+    """Where the stretch around a place begins, which is at ``least`` or behind it."""
+    return max(least, 1 + max(low.rfind(c, least, at) for c in "\n.!?。！？"))
 
 
 def without_code(text: str) -> str:
     return CODE.sub(" ", text) if "`" in text or "~~~" in text or "<" in text else text
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text, cut at ends of lines if it is long, so that what is made of it at once doesn't grow with it. No passage goes over lines."""
+    start = 0
+    while len(text) - start > PIECE and (end := text.find("\n", start + PIECE)) >= 0:
+        yield text[start : end + 1]
+        start = end + 1
+    yield text[start:]
+
+
 class Weights:
     """Inverse document frequencies over all documents of the terms that exemplars have; a term that none has weighs as much as the rarest."""
 
@@ -227,9 +240,13 @@ class Weights:
 
 def document_terms(text: str, single: set[str], double: set[str]) -> set[str]:
     """Which of some words and pairs of CJK characters a document has."""
-    low = text.lower()
-    found = single.intersection(_LETTERS.findall(low))
-    return found | {t for t in double if t in low} if double and _CJK.search(low) else found
+    found = set()
+    for piece in pieces(text):
+        low = piece.lower()
+        found |= single.intersection(_LETTERS.findall(low))
+        if double and _CJK.search(low):
+            found |= {t for t in double if t in low}
+    return found
 
 
 _CJK = re.compile("[㐀-鿿]")
@@ -328,25 +345,28 @@ class Index:
 
     def passages(self, bare: str) -> Iterator[tuple[str, ...]]:
         """The terms of the passages that may match an exemplar of the index."""
-        low, hits, last = bare.lower(), set(), -1
-        if not len(self.found):
-            return
+        if len(self.found):
+            for piece in pieces(bare):
+                yield from self._passages(piece.lower())
+
+    def _passages(self, low: str) -> Iterator[tuple[str, ...]]:
+        hits, last, least = set(), -1, 0
         for end, (size, term) in self.found.iter(low):
             start = end - size + 1
             if term < "\u3400" and (low[end + 1 : end + 2].isalpha() or start and low[start - 1].isalpha()):
                 continue  # within a word
-            if hits and last < start and ENDS.search(low, last + 1, start):
-                yield from self._cut(low, last, hits)
-                hits = set()
+            if hits and last < start and (ends := ENDS.search(low, last + 1, start)):
+                yield from self._cut(low, last, hits, least)
+                hits, least = set(), ends.end()
             hits.add(term)
             last = max(last, end)
-        yield from self._cut(low, last, hits)
+        yield from self._cut(low, last, hits, least)
 
-    def _cut(self, low: str, at: int, hits: set[str]) -> Iterator[tuple[str, ...]]:
-        """The passages of the stretch around a place, if what was found there is worth it."""
+    def _cut(self, low: str, at: int, hits: set[str], least: int) -> Iterator[tuple[str, ...]]:
+        """The passages of the stretch around a place, if what was found there is worth it; no stretch before ``least`` is looked at again."""
         if not hits or not self.worth(hits):
             return
-        a, z = stretch_start(low, at), ENDS.search(low, at + 1)
+        a, z = stretch_start(low, at, least), ENDS.search(low, at + 1)
         for passage in PASSAGE.split(low[a : z.end() if z else len(low)]):
             if passage and not passage.isspace() and (ts := terms(passage)):
                 yield tuple(ts)
@@ -367,14 +387,36 @@ class Index:
         return None
 
 
-def _texts(docs: DataFrame, run: Callable[[Iterator[list]], Iterator[tuple[list, list]]], schema: str) -> DataFrame:
-    """A map over the texts of each batch in the table's own partitions, to (key, n)."""
+def in_parts(column: pa.Array) -> Iterator[list]:
+    """A column's texts, a few at once."""
+    step = max(1, TAKEN * len(column) // (column.nbytes + 1))
+    return (column.slice(k, step).to_pylist() for k in range(0, len(column), step))
+
+
+def tallied(keys: Callable[[str], set[str]], batches: Iterator[list], held: int = HELD) -> Iterator[Counter]:
+    """How many texts of some batches have each key. Counts are handed on whenever ``held`` characters of keys went into them, so that what
+    is in memory at once doesn't grow with the texts of a task; the same key may come again."""
+    counts, size = Counter(), 0
+    for texts in batches:
+        for text in texts:
+            if text:
+                counts.update(own := keys(text))
+                size += sum(map(len, own))
+                if size >= held:
+                    yield counts
+                    counts, size = Counter(), 0
+    if counts:
+        yield counts
+
+
+def _texts(docs: DataFrame, maker: Callable[[], Callable[[str], set[str]]]) -> DataFrame:
+    """(key, n): how many texts have each key, by a scan of the table in its own partitions. ``maker`` makes a task's function from a text to keys."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, numbers in run(batch.column(0).to_pylist() for batch in batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int64())], names=["key", "n"])
+        for counts in tallied(maker(), (texts for batch in batches for texts in in_parts(batch.column(0)))):
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
 
-    return docs.select("text").mapInArrow(each, schema)
+    return docs.select("text").mapInArrow(each, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def counted(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int, frozenset[str]]:
@@ -382,22 +424,14 @@ def counted(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int, fro
     what they are, those of most documents first. The driver gets a row a term and NAMES_LEARNED names."""
     single, double = {t for t in wanted if not "㐀" <= t[0] <= "鿿"}, {t for t in wanted if "㐀" <= t[0] <= "鿿"}
 
-    def run(batches: Iterator[list]) -> Iterator[tuple[list, list]]:
-        counts, names, n = Counter(), Counter(), 0
-        for texts in batches:
-            n += len(texts)
-            for text in texts:
-                if text:
-                    counts.update(document_terms(text, single, double))
-                    if DELIMITERS.search(text):
-                        names.update({name for strict, name in windows(CODE.sub(" ", text)) if strict and name})
-        yield [*counts, "", *["=" + k for k in names]], [*counts.values(), n, *names.values()]
-
-    rows = _texts(docs, run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def keys(text: str) -> set[str]:
+        names = {"=" + name for strict, name in windows(CODE.sub(" ", text)) if strict and name} if DELIMITERS.search(text) else set()
+        return document_terms(text, single, double) | names
+
+    rows = _texts(docs, lambda: keys)
     names = [r.key[1:] for r in rows.where(F.col("key").startswith("=") & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "key").limit(NAMES_LEARNED).collect()]
     df = {r.key: r.n for r in rows.where(~F.col("key").startswith("=")).collect()}
-    total = df.pop("", 0)
-    return {t: df.get(t, 0) for t in wanted}, total, frozenset(names)
+    return {t: df.get(t, 0) for t in wanted}, docs.count(), frozenset(names)
 
 
 def learned(docs: DataFrame, counts: dict[str, int], total: int, names: frozenset[str]) -> list[tuple[str, tuple[str, ...]]]:
@@ -411,16 +445,18 @@ def learned(docs: DataFrame, counts: dict[str, int], total: int, names: frozense
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((Weights(counts, total), names, known))
 
-        def matched(batches: Iterator[list], shared=shared) -> Iterator[tuple[list, list]]:
-            index, found = Index(*shared.value), Counter()
-            for texts in batches:
-                for text in texts:
-                    if label := index.residue(text, with_windows=False):
-                        own = {tuple(terms(p)) for p in PASSAGE.split(without_code(text).lower()) if p and not p.isspace()}
-                        found.update(label + " " + " ".join(ts) for ts in own if len(ts) > 1)
-            yield list(found), list(found.values())
+        def matched(shared=shared) -> Callable[[str], set[str]]:
+            index = Index(*shared.value)
+
+            def keys(text: str) -> set[str]:
+                if not (label := index.residue(text, with_windows=False)):
+                    return set()
+                own = {" ".join(terms(p)) for piece in pieces(without_code(text)) for p in PASSAGE.split(piece.lower()) if p and not p.isspace()}
+                return {label + " " + p for p in own if " " in p}
+
+            return keys
 
-        rows = _texts(docs, matched, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        rows = _texts(docs, matched).where(F.col("n") >= LEAST)
         hits: dict[tuple[str, ...], Counter] = defaultdict(Counter)
         for r in rows.orderBy(F.desc("n"), "key").limit(LEARNED).collect():
             label, *ts = r.key.split(" ")
@@ -428,18 +464,18 @@ def learned(docs: DataFrame, counts: dict[str, int], total: int, names: frozense
         new = {t for ts in hits for t in ts} - counts.keys()
         candidates = spark.sparkContext.broadcast((Weights(counts, total), [("c", ts) for ts in hits], new))
 
-        def everywhere(batches: Iterator[list], candidates=candidates) -> Iterator[tuple[list, list]]:
+        def everywhere(candidates=candidates) -> Callable[[str], set[str]]:
             weights, wanted, new = candidates.value
-            index, found, known = Index(weights, frozenset(), wanted, alone=True), Counter(), {ts for _, ts in wanted}
+            index, known = Index(weights, frozenset(), wanted, alone=True), {ts for _, ts in wanted}
             single, double = {t for t in new if not "㐀" <= t[0] <= "鿿"}, {t for t in new if "㐀" <= t[0] <= "鿿"}
-            for texts in batches:
-                for text in texts:
-                    if text:
-                        found.update({" ".join(ts) for ts in index.passages(without_code(text)) if ts in known})
-                        found.update("=" + t for t in document_terms(text, single, double))
-            yield list(found), list(found.values())
-
-        totals = {r.key: r.n for r in _texts(docs, everywhere, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # a row a candidate and term
+
+            def keys(text: str) -> set[str]:
+                found = {" ".join(ts) for ts in index.passages(without_code(text)) if ts in known}
+                return found | {"=" + t for t in document_terms(text, single, double)}
+
+            return keys
+
+        totals = {r.key: r.n for r in _texts(docs, everywhere).collect()}  # a row a candidate and term
         counts.update({t: totals.get("=" + t, 0) for t in new})
         known = sorted((max(sorted(by), key=by.get), ts) for ts, by in hits.items() if sum(by.values()) >= SHARE * totals.get(" ".join(ts), 1))
     return known
@@ -458,7 +494,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.residue(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.residue(t) for texts in in_parts(batch.column(1)) for t in texts], pa.string())], names=["doc_id", "label"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, label string")
 

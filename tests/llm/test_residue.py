@@ -73,3 +73,25 @@ def test_names_are_learned_from_sure_shapes(spark):
 def test_worn_latin():
     latin = R.Latin()
     assert all(latin(w) for w in ("lorem", "eiusm", "incididun", "venia", "seddo", "nonproident")) and not any(latin(w) for w in ("letters", "windows", "estación", "table", "zuzammen"))
+
+
+def test_memory_does_not_grow_with_the_texts_of_a_task():
+    # counts are handed on part by part, and none is lost
+    texts = [f"w{k} w{k + 1} " + "x" * 1_000 for k in range(300)]
+    parts = list(R.tallied(lambda text: set(text.split()), iter([texts[:100], [None, ""], texts[100:]]), held=10_000))
+    assert len(parts) > 20 and max(sum(map(len, c)) for c in parts) < 12_000
+    assert sum(parts, Counter()) == Counter(w for text in texts for w in set(text.split()))
+
+
+def test_long_text(index):
+    # a long text gives what its lines give, with memory for a piece of it at once
+    import tracemalloc
+
+    assert index.residue("sound text 。 of no kind\n" * 30_000 + "Access denied") == "error"
+    text = "It may have been moved to the tables 。 by them, JavaScript was here.\n" * 30_000 + "服务器内部错误"
+    tracemalloc.start()
+    assert index.residue(text) is None
+    assert R.document_terms(text, {"tables", "nothing"}, {"内部", "外部"}) == {"tables", "内部"}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 2 * len(text)
