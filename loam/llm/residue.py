@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, zip_longest
 
 import ahocorasick
 import pyarrow as pa
@@ -26,17 +28,17 @@ from loam.session import spread, table
 CONTAINED, COVERED = 0.75, 0.6
 #: Filler Latin needs so many of its words in a passage.
 FILLER_WORDS = 4
-#: Passages that are learned at most (those of most matched documents), documents they must stand in, and the least share of these that seeds
-#: or learned passages match.
-LEARNED, LEAST, SHARE = 5_000, 2, 0.6
+#: Documents that a learned passage or name must stand in, and the least share of a passage's documents that seeds or learned passages match.
+LEAST, SHARE = 2, 0.6
+#: Passages and characters of them in one index, and names of placeholders beside them. What is learned beyond that makes more indexes, each
+#: over the texts on its own.
+PASSAGES, CHARACTERS, NAMES = 20_000, 4_000_000, 100_000
 #: Times that learning goes on from what it has learned.
 ROUNDS = 1
-#: Names of placeholders that are learned at most (those of most documents).
-NAMES_LEARNED = 2_000
 #: Characters of keys that a worker counts before it hands the counts on.
 HELD = 8_000_000
 #: Bytes of texts, about, that a worker takes out of a batch at once, and characters of a long text that it cuts to words or passages at once.
-TAKEN, PIECE = 4_000_000, 500_000
+TAKEN, PIECE = 16_000_000, 500_000
 
 # Labelled exemplars, general ones in the corpus's languages. A passage has to hold one sentence.
 SEEDS = {
@@ -245,7 +247,7 @@ def document_terms(text: str, single: set[str], double: set[str]) -> set[str]:
         low = piece.lower()
         found |= single.intersection(_LETTERS.findall(low))
         if double and _CJK.search(low):
-            found |= {t for t in double if t in low}
+            found |= {t for t in double if t in low} if len(double) < len(low) else double & {*low, *map("".join, zip(low, low[1:]))}
     return found
 
 
@@ -409,92 +411,154 @@ def tallied(keys: Callable[[str], set[str]], batches: Iterator[list], held: int
         yield counts
 
 
-def _texts(docs: DataFrame, maker: Callable[[], Callable[[str], set[str]]]) -> DataFrame:
-    """(key, n): how many texts have each key, by a scan of the table in its own partitions. ``maker`` makes a task's function from a text to keys."""
+def _texts(docs: DataFrame, maker: Callable[[], Callable[[list], Iterator[set[str]]]]) -> DataFrame:
+    """(key, n): how many texts have each key, by a scan of the table in its own partitions. ``maker`` makes a task's function, which gives the
+    keys of each of some texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for counts in tallied(maker(), (texts for batch in batches for texts in in_parts(batch.column(0)))):
+        keys = maker()
+        for counts in tallied(lambda own: own, (keys(texts) for batch in batches for texts in in_parts(batch.column(0)))):
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
 
     return docs.select("text").mapInArrow(each, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def counted(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int, frozenset[str]]:
-    """(documents by term, documents, names): in how many documents the wanted terms stand, and the names of placeholders whose shape says
-    what they are, those of most documents first. The driver gets a row a term and NAMES_LEARNED names."""
+def in_blocks(lines: Iterable[str], most: int, characters: int = CHARACTERS) -> list[str]:
+    """All lines, in blocks of at most so many lines and, but for a single line, characters."""
+    out, own, size = [], [], 0
+    for line in lines:
+        if own and (len(own) >= most or size + len(line) > characters):
+            out.append("\n".join(own))
+            own, size = [], 0
+        own.append(line)
+        size += len(line)
+    return [*out, "\n".join(own)] if own else out
+
+
+def in_turn(blocks: list, make: Callable) -> Callable[[], Iterator]:
+    """Gives what is made of each block's number and block, one after the other and made anew each time; of a single block it is kept."""
+    if len(blocks) > 1:
+        return lambda: (make(k, block) for k, block in enumerate(blocks))
+    kept = [make(k, block) for k, block in enumerate(blocks)]
+    return lambda: iter(kept)
+
+
+def indexes(weights: Weights, names: list[str], known: list[str]) -> Callable[[], Iterator[Index]]:
+    """The indexes of blocks of names and of exemplars (lines of a label and terms); the first has the seeds as well."""
+
+    def make(k: int, block: tuple[str, str]) -> Index:
+        exemplars = [(label, tuple(ts)) for label, *ts in (line.split(" ") for line in sorted(block[1].split("\n")) if line)]
+        return Index(weights, frozenset(block[0].split("\n")) - {""}, exemplars + PLACEHOLDERS * (k > 0), alone=k > 0)
+
+    return in_turn(list(zip_longest(names, known, fillvalue="")) or [("", "")], make)
+
+
+def labels(texts: list, each: Callable[[], Iterator[Index]], with_windows: bool = True) -> list[str | None]:
+    """The label of each text by the first index that has one for it."""
+    out: list[str | None] = [None] * len(texts)
+    for index in each():
+        out = [label or index.residue(text, with_windows) for label, text in zip(out, texts)]
+    return out
+
+
+def counted(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int, list[str]]:
+    """(documents by term, documents, names): in how many documents the wanted terms stand, and blocks of all names of placeholders whose shape
+    says what they are. The driver gets a row a term and name."""
     single, double = {t for t in wanted if not "㐀" <= t[0] <= "鿿"}, {t for t in wanted if "㐀" <= t[0] <= "鿿"}
 
     def keys(text: str) -> set[str]:
         names = {"=" + name for strict, name in windows(CODE.sub(" ", text)) if strict and name} if DELIMITERS.search(text) else set()
         return document_terms(text, single, double) | names
 
-    rows = _texts(docs, lambda: keys)
-    names = [r.key[1:] for r in rows.where(F.col("key").startswith("=") & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "key").limit(NAMES_LEARNED).collect()]
-    df = {r.key: r.n for r in rows.where(~F.col("key").startswith("=")).collect()}
-    return {t: df.get(t, 0) for t in wanted}, docs.count(), frozenset(names)
+    rows = _texts(docs, lambda: lambda texts: (keys(text) for text in texts if text))
+    df, names = dict.fromkeys(wanted, 0), []
+    for r in rows.where(~F.col("key").startswith("=") | (F.col("n") >= LEAST)).toLocalIterator():
+        if r.key[0] == "=":
+            names.append(r.key[1:])
+        else:
+            df[r.key] = r.n
+    return df, docs.count(), in_blocks(sorted(names), NAMES)
 
 
-def learned(docs: DataFrame, counts: dict[str, int], total: int, names: frozenset[str]) -> list[tuple[str, tuple[str, ...]]]:
-    """(label, terms) of passages that stand in documents that seeds match and hardly anywhere else; ``counts`` gets the documents of their terms.
+def learned(docs: DataFrame, counts: dict[str, int], total: int, names: list[str]) -> list[str]:
+    """Blocks of exemplars (lines of a label and terms): all passages that stand in documents that seeds match and hardly anywhere else;
+    ``counts`` gets the documents of their terms.
 
-    In each round one scan finds the documents that match so far and counts their passages, of which those of most documents are candidates; another
-    counts the candidates, and their terms, in all documents. Candidates of which at least SHARE of the documents match are exemplars of the
-    next round.
+    In each round one scan finds the documents that match so far and counts their passages, of which those of LEAST documents are candidates;
+    another counts the candidates, and their terms, in all documents. Candidates of which at least SHARE of the documents match are exemplars
+    of the next round. The driver holds the candidates as text, and their terms; a worker has one block of them in an index at a time.
     """
     spark, known = docs.sparkSession, []
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((Weights(counts, total), names, known))
 
-        def matched(shared=shared) -> Callable[[str], set[str]]:
-            index = Index(*shared.value)
+        def matched(shared=shared) -> Callable[[list], Iterator[set[str]]]:
+            each = indexes(*shared.value)
 
-            def keys(text: str) -> set[str]:
-                if not (label := index.residue(text, with_windows=False)):
-                    return set()
-                own = {" ".join(terms(p)) for piece in pieces(without_code(text)) for p in PASSAGE.split(piece.lower()) if p and not p.isspace()}
-                return {label + " " + p for p in own if " " in p}
+            def keys(texts: list) -> Iterator[set[str]]:
+                for text, label in zip(texts, labels(texts, each, with_windows=False)):
+                    if label:
+                        own = {" ".join(terms(p)) for piece in pieces(without_code(text)) for p in PASSAGE.split(piece.lower()) if p and not p.isspace()}
+                        yield {label + " " + p for p in own if " " in p}
 
             return keys
 
-        rows = _texts(docs, matched).where(F.col("n") >= LEAST)
-        hits: dict[tuple[str, ...], Counter] = defaultdict(Counter)
-        for r in rows.orderBy(F.desc("n"), "key").limit(LEARNED).collect():
-            label, *ts = r.key.split(" ")
-            hits[tuple(ts)][label] += r.n
-        new = {t for ts in hits for t in ts} - counts.keys()
-        candidates = spark.sparkContext.broadcast((Weights(counts, total), [("c", ts) for ts in hits], new))
-
-        def everywhere(candidates=candidates) -> Callable[[str], set[str]]:
-            weights, wanted, new = candidates.value
-            index, known = Index(weights, frozenset(), wanted, alone=True), {ts for _, ts in wanted}
+        rows = _texts(docs, matched).where(F.col("n") >= LEAST).selectExpr("substring_index(key, ' ', 1) AS label", "substring(key, instr(key, ' ') + 1) AS passage", "n")
+        rows = rows.groupBy("passage").agg(F.sum("n").alias("n"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
+        hits = in_blocks((f"{r.n} {r.label} {r.passage}" for r in rows.orderBy(F.desc("n"), "passage").toLocalIterator()), PASSAGES)
+        firsts = [0, *accumulate(block.count("\n") + 1 for block in hits)]  # the number of each block's first candidate
+        new = {t for block in hits for line in block.split("\n") for t in line.split(" ")[2:]} - counts.keys()
+        candidates = spark.sparkContext.broadcast((Weights(counts, total), hits, firsts, new))
+
+        def everywhere(candidates=candidates) -> Callable[[list], Iterator[set[str]]]:
+            weights, hits, firsts, new = candidates.value
             single, double = {t for t in new if not "㐀" <= t[0] <= "鿿"}, {t for t in new if "㐀" <= t[0] <= "鿿"}
 
-            def keys(text: str) -> set[str]:
-                found = {" ".join(ts) for ts in index.passages(without_code(text)) if ts in known}
-                return found | {"=" + t for t in document_terms(text, single, double)}
+            def make(k: int, block: str) -> tuple[Index, dict[tuple[str, ...], str]]:
+                numbers = {tuple(line.split(" ")[2:]): str(n) for n, line in enumerate(block.split("\n"), firsts[k])}
+                return Index(weights, frozenset(), [("c", ts) for ts in numbers], alone=True), numbers
+
+            each = in_turn(hits, make)
+
+            def keys(texts: list) -> Iterator[set[str]]:
+                for index, numbers in each():
+                    for text in texts:
+                        if text:
+                            yield {numbers[ts] for ts in index.passages(without_code(text)) if ts in numbers}
+                for text in texts:
+                    if text:
+                        yield {"=" + t for t in document_terms(text, single, double)}
 
             return keys
 
-        totals = {r.key: r.n for r in _texts(docs, everywhere).collect()}  # a row a candidate and term
-        counts.update({t: totals.get("=" + t, 0) for t in new})
-        known = sorted((max(sorted(by), key=by.get), ts) for ts, by in hits.items() if sum(by.values()) >= SHARE * totals.get(" ".join(ts), 1))
+        counts.update(dict.fromkeys(new, 0))
+        totals = array("q", bytes(8 * firsts[-1]))
+        if hits:
+            for r in _texts(docs, everywhere).toLocalIterator():  # a row a candidate and term
+                if r.key[0] == "=":
+                    counts[r.key[1:]] = r.n
+                else:
+                    totals[int(r.key)] = r.n
+        lines = zip((line.split(" ", 1) for block in hits for line in block.split("\n")), totals)
+        known = in_blocks((line for (n, line), everywhere in lines if int(n) >= SHARE * max(1, everywhere)), PASSAGES)
     return known
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, label) of each document: placeholder, filler, error or script where real content should be, null for real content.
 
-    Scans of the table in its own partitions: one counts terms, two a round learn, one scores. What is broadcast is bounded by LEARNED and
-    NAMES_LEARNED.
+    Scans of the table in its own partitions: one counts terms, two a round learn, one scores. All that is learned is broadcast as text; a
+    worker has PASSAGES exemplars and NAMES names in an index at a time.
     """
     counts, total, names = counted(docs, {t for _, ts in seeds() for t in ts})
     known = learned(docs, counts, total, names)
     shared = docs.sparkSession.sparkContext.broadcast((Weights(counts, total), names, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        each = indexes(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.residue(t) for texts in in_parts(batch.column(1)) for t in texts], pa.string())], names=["doc_id", "label"])
+            found = [label for texts in in_parts(batch.column(1)) for label in labels(texts, each)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "label"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, label string")
 

@@ -95,3 +95,43 @@ def test_long_text(index):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * 2 * len(text)
+
+
+def _crowd():
+    # two documents that seeds match hold 5,100 passages, two others 2,100 names; each of the rest holds one passage or one name
+    from itertools import islice, product
+
+    words = ["".join(w) for w in islice(product("bdfgklmnpr", "aeiou", "bdfgklmnpr", "aeiou", "st"), 5_100)]
+    told = "Access denied.\n" + "\n".join(f"Quux {w} zorn{w} blick{w}." for w in words)
+    sure = "\n".join("{{ %sing }}" % w for w in words[:2_100])
+    some = words[::300] + words[-2:]
+    named = words[:2_100:300] + words[2_098:2_100]
+    texts = [told, told, sure, sure, *[f"Quux {w} zorn{w} blick{w}." for w in some], *[f"now [{w}ing] here" for w in named], "Quux of another kind.", "now [other] here", None, ""]
+    return list(enumerate(texts)), set(range(4 + len(some) + len(named)))
+
+
+def test_all_that_is_learned_counts(spark):
+    rows, found = _crowd()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in R.labelled(table).collect() if r.label} == found
+
+
+def test_blocks_find_what_one_index_finds(spark, monkeypatch):
+    rows, found = _crowd()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(R, "PASSAGES", 900)
+    monkeypatch.setattr(R, "NAMES", 150)
+    assert {r.doc_id for r in R.labelled(table).collect() if r.label} == found
+
+
+def test_blocks_are_whole():
+    lines = [f"line {k}" for k in range(10)] + ["x" * 100, "y"]
+    for blocks in (R.in_blocks(lines, 3), R.in_blocks(lines, 100, 30), R.in_blocks(lines, 100)):
+        assert [line for block in blocks for line in block.split("\n")] == lines
+    assert [b.count("\n") + 1 for b in R.in_blocks(lines, 5)] == [5, 5, 2] and R.in_blocks([], 5) == []
+
+
+def test_many_cjk_pairs():
+    text = "今天的会议纪要 and more 页"
+    pairs = {"会议", "议纪", "页", "要页", "纪", "无关", *[chr(0x4E00 + k) + chr(0x5E00 + k) for k in range(50)]}
+    assert R.document_terms(text, set(), pairs) == {t for t in pairs if t in text}
