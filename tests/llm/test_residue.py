@@ -135,3 +135,18 @@ def test_many_cjk_pairs():
     text = "今天的会议纪要 and more 页"
     pairs = {"会议", "议纪", "页", "要页", "纪", "无关", *[chr(0x4E00 + k) + chr(0x5E00 + k) for k in range(50)]}
     assert R.document_terms(text, set(), pairs) == {t for t in pairs if t in text}
+
+
+def test_crowded_terms_are_looked_at_by_few():
+    # 3,000 exemplars share their posted terms; a passage is compared with those that it could hold, and a passage that comes again with none
+    def exemplar(k):
+        return ("error", ("quux", "zorn", *[f"w{k:04}{c}" for c in "abc"]))
+
+    index = R.Index(Flat(quux=60.0, zorn=60.0), frozenset(), [exemplar(k) for k in range(3_000)], alone=True)
+    looked = Counter()
+    for t, own in index.postings.items():
+        index.postings[t] = [(*p[:-2], type("Own", (dict,), {"items": lambda self: looked.update(["once"]) or dict.items(self)})(p[-2]), p[-1]) for p in own]
+    long = ("quux", *[f"x{k}" for k in range(100)])
+    assert index.match(long) is None and index.match(("quux", "other")) is None and looked["once"] == 0
+    assert index.match(exemplar(7)[1]) == "error" and (n := looked["once"]) > 0
+    assert index.match(exemplar(7)[1]) == "error" and looked["once"] == n
